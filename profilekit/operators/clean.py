@@ -92,5 +92,5 @@ def clean_turns(df: DataFrame) -> DataFrame:
     )
 
 
-def declared(df: DataFrame, schema=schemas.CUSTOMERS) -> DataFrame:
+def declared(df: DataFrame, schema: str = schemas.CUSTOMERS) -> DataFrame:
     return schemas.with_columns_of(df, schema, schemas.OPTIONAL_CUSTOMER_COLUMNS)

@@ -12,7 +12,7 @@ from .. import schemas
 from ..operators.ranking import pick_first
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with header and quoted multi-line text, read against a declared schema (no inference pass).
 
     Columns are matched by position, so the file order has to be the schema order; ``enforceSchema``
@@ -29,19 +29,19 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     )
 
 
-def read_customers(spark: SparkSession, path: str, schema: T.StructType = schemas.CUSTOMERS) -> DataFrame:
+def read_customers(spark: SparkSession, path: str, schema: T.StructType | str = schemas.CUSTOMERS) -> DataFrame:
     return read_csv(spark, path, schema)
 
 
-def read_products(spark: SparkSession, path: str, schema: T.StructType = schemas.PRODUCTS) -> DataFrame:
+def read_products(spark: SparkSession, path: str, schema: T.StructType | str = schemas.PRODUCTS) -> DataFrame:
     return read_csv(spark, path, schema)
 
 
-def read_transactions(spark: SparkSession, path: str, schema: T.StructType = schemas.TRANSACTIONS) -> DataFrame:
+def read_transactions(spark: SparkSession, path: str, schema: T.StructType | str = schemas.TRANSACTIONS) -> DataFrame:
     return read_csv(spark, path, schema)
 
 
-def read_turns(spark: SparkSession, path: str, schema: T.StructType = schemas.TURNS) -> DataFrame:
+def read_turns(spark: SparkSession, path: str, schema: T.StructType | str = schemas.TURNS) -> DataFrame:
     """Turns without a message are dropped."""
     return read_csv(spark, path, schema).dropna(subset=["input"])
 
@@ -58,8 +58,9 @@ def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        # an empty text stays different from a missing one
+        # an empty text stays different from a missing one, blanks are kept
         writer = writer.option("header", True).option("escape", '"').option("emptyValue", '""')
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
