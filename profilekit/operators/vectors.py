@@ -138,25 +138,18 @@ def threshold_sweep(
         .groupBy("i")
         .agg(F.sum("t").alias("pos"), F.sum(1 - F.col("t")).alias("neg"))
     )
-    sums = counts.agg(
-        F.coalesce(F.sum("pos"), F.lit(0)).alias("p"),
-        *[
-            F.coalesce(F.sum(F.when(F.col("i") > j, F.col(c))), F.lit(0)).alias(f"{a}{j}")
-            for j in range(len(grid))
-            for a, c in (("tp", "pos"), ("fp", "neg"))
-        ],
-    )
-    rows = [
-        F.struct(
-            F.lit(float(t)).alias("umbral"),
-            F.col(f"tp{j}").alias("tp"),
-            F.col(f"fp{j}").alias("fp"),
-            (F.col("p") - F.col(f"tp{j}")).alias("fn"),
-        )
-        for j, t in enumerate(grid)
-    ]
+    # at most one entry per grid interval, so the list is bounded by the grid
+    listed = counts.agg(F.collect_list(F.struct("i", "pos", "neg")).alias("c"))
+
+    def added(above: Column | None, name: str) -> Column:
+        rows = F.col("c") if above is None else F.filter("c", lambda x: x["i"] > above)
+        return F.aggregate(rows, F.lit(0).cast("bigint"), lambda a, x: a + x[name])
+
+    steps = F.posexplode(F.array(*[F.lit(float(t)) for t in grid])).alias("j", "umbral")
+    tp, fp, p = added(F.col("j"), "pos"), added(F.col("j"), "neg"), added(None, "pos")
+    rows = listed.select("c", steps).select("umbral", tp.alias("tp"), fp.alias("fp"), (p - tp).alias("fn"))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
-    return sums.select(F.inline(F.array(*rows))).withColumn("f1", f1)
+    return rows.withColumn("f1", f1)
 
 
 def best_threshold(sweep: DataFrame, default: float = fv.DEFAULT_THRESHOLD) -> float:
@@ -215,7 +208,8 @@ def distinct_answers(
     """Adds the answers to candidate pairs, keeps the best per answer prefix and numbers the top ``k``."""
     texts = corpus.select(F.col(doc_id).alias("d"), F.col(answer), *carry)
     # candidates are few per query: Spark sees their size and decides how to join
-    full = pairs.join(texts, "d").withColumn("_prefix", F.substring(answer, 1, prefix))
+    # one exchange by query serves both windows below
+    full = pairs.join(texts, "d").repartition("q").withColumn("_prefix", F.substring(answer, 1, prefix))
     order = [F.col("sim").desc(), F.col("d").asc()]
     best = top_per_key(full, ["q", "_prefix"], order, 1)
     return top_per_key(best, ["q"], order, k, position="rn").select(

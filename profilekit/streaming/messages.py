@@ -48,6 +48,11 @@ def write_routed(messages: DataFrame, path: str, checkpoint: str) -> StreamingQu
     )
 
 
+def read_routed(spark: SparkSession, path: str) -> DataFrame:
+    """The routed table; folder names are text, the flag is a boolean again."""
+    return spark.read.parquet(path).withColumn("short_circuit", F.col("short_circuit").cast("boolean"))
+
+
 # --- sessions with state -----------------------------------------------------------------------------
 
 TURNS = "message_id bigint, user_id bigint, session_no bigint, turno bigint, recordados int"
