@@ -1 +1,8 @@
 """Customer-profile and conversation analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run inside tasks travel with the job, so executors need no installed copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -133,3 +133,11 @@ STRESSED_UTILISATION = 0.85
 CHURN_LOGIN_DAYS = 30
 CHURN_SATISFACTION = 6
 FRUSTRATION_ALERT = 2
+
+# --- files ---------------------------------------------------------------------------------------
+
+# texts that stand for a missing value in the input files
+MISSING_TEXTS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+]

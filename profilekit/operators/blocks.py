@@ -1,11 +1,12 @@
 """Best-matching pairs between many documents and many queries, without materialising all pairs.
 
-Documents stay where they are; scores are computed as matrix products over bounded blocks and only pairs
-above the limit leave a block, at most ``n`` per query. Vectors are dense (``v array``) or sparse
-(``t array<int>`` term numbers with ``w array<double>`` weights).
+Scores are computed over bounded blocks inside the tasks and only pairs above the limit leave a block, at
+most ``n`` per query. Vectors are dense (``v array``) or sparse (``t array<int>`` term numbers with
+``w array<double>`` weights).
 
-Queries that fit ``broadcast_bytes`` are sent to all tasks once and the documents are not shuffled.
-Beyond that both sides are cut into blocks and every block pair is scored in a task of its own.
+The side that fits ``broadcast_bytes`` is sent to all tasks once and the other side is not shuffled. When
+neither fits, both are cut into blocks and every pair of blocks is scored in a task of its own. All three
+ways are exact.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from .ranking import top_per_key
 BROADCAST_BYTES = 64 << 20
 BLOCK_CELLS = 4_000_000
 DOCS_PER_BLOCK = 50_000
-QUERIES_PER_BLOCK = 4_000
+QUERIES_PER_BLOCK = 50_000
+QUERY_CHUNK = 1024
+SPREAD_ROWS = 1_000_000
 # equal documents must tie exactly, whatever the order of the additions
 SIM_DIGITS = 9
 
@@ -36,121 +39,129 @@ def dense_rows(column: pa.Array, width: int | None = None) -> np.ndarray:
     return flat.reshape(rows, -1 if rows and width is None else (width or 0))
 
 
-class DenseQueries:
-    def __init__(self, table: pa.Table) -> None:
-        self.ids = np.array(table.column("q").to_pylist())
-        self.matrix = dense_rows(table.column("v")).T if table.num_rows else np.zeros((0, 0))
-
-    def scores(self, docs: pa.Table) -> np.ndarray:
-        return dense_rows(docs.column("v"), self.matrix.shape[0]) @ self.matrix
-
-    def cells_per_doc(self) -> int:
-        return len(self.ids)
-
-
-class SparseQueries:
-    """Only terms that occur in some query take part, so the document block stays narrow."""
-
-    def __init__(self, table: pa.Table) -> None:
-        self.ids = np.array(table.column("q").to_pylist())
-        terms, weights, lengths = _flat(table)
-        self.terms, columns = np.unique(terms, return_inverse=True)
-        self.matrix = np.zeros((len(self.terms), len(self.ids)))
-        self.matrix[columns, np.repeat(np.arange(len(self.ids)), lengths)] = weights
-
-    def scores(self, docs: pa.Table) -> np.ndarray:
-        terms, weights, lengths = _flat(docs)
-        rows = np.repeat(np.arange(docs.num_rows), lengths)
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), dtype=bool)
-        block = np.zeros((docs.num_rows, len(self.terms)))
-        block[rows[known], at[known]] = weights[known]
-        return block @ self.matrix
-
-    def cells_per_doc(self) -> int:
-        return max(len(self.ids), len(self.terms))
+def _ids(table: pa.Table, name: str) -> np.ndarray:
+    return np.array(table.column(name).to_pylist())
 
 
 def _flat(table: pa.Table):
     terms, weights = table.column("t").combine_chunks(), table.column("w").combine_chunks()
     lengths = terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    return (
-        terms.flatten().to_numpy(zero_copy_only=False),
-        weights.flatten().to_numpy(zero_copy_only=False),
-        lengths,
-    )
+    flat_terms, flat_weights = terms.flatten(), weights.flatten()
+    return flat_terms.to_numpy(zero_copy_only=False), flat_weights.to_numpy(zero_copy_only=False), lengths
 
 
-def _queries(table: pa.Table):
-    return DenseQueries(table) if "v" in table.column_names else SparseQueries(table)
+def _dense_scores(queries: pa.Table, docs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Document positions and their scores against all queries of the chunk."""
+    matrix = dense_rows(queries.column("v")).T
+    step = max(1, BLOCK_CELLS // max(1, matrix.shape[1]))
+    for start in range(0, docs.num_rows, step):
+        part = dense_rows(docs.column("v").slice(start, step), matrix.shape[0])
+        yield np.arange(start, start + len(part)), part @ matrix
 
 
-def _best_in(queries, docs: pa.Table, min_sim: float, n: int) -> Iterator[pa.RecordBatch]:
-    """Per query the ``n`` best documents of this block, by falling similarity, then document id."""
-    if not len(queries.ids) or not docs.num_rows:
+def _sparse_scores(queries: pa.Table, docs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Only document entries whose term occurs in some query of the chunk are looked at."""
+    q_terms, q_weights, q_lengths = _flat(queries)
+    terms, columns = np.unique(q_terms, return_inverse=True)
+    if not len(terms):
         return
-    step = max(1, BLOCK_CELLS // max(1, queries.cells_per_doc()))
-    for start in range(0, docs.num_rows, step):
-        part = docs.slice(start, step)
-        sims = np.round(queries.scores(part), SIM_DIGITS)
-        rows, cols = np.nonzero(sims >= min_sim)
-        if not len(rows):
-            continue
-        ids = np.array(part.column("d").to_pylist())
-        values = sims[rows, cols]
-        order = np.lexsort((ids[rows], -values, cols))
-        rows, cols, values = rows[order], cols[order], values[order]
-        first = np.r_[True, cols[1:] != cols[:-1]]
-        place = np.arange(len(cols)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-        keep = place < n
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(queries.ids[cols[keep]].tolist(), type=part_type(queries.ids)),
-                pa.array(ids[rows[keep]].tolist(), type=part_type(ids)),
-                pa.array(values[keep]),
-            ],
-            names=["q", "d", "sim"],
-        )
-
-
-def part_type(ids: np.ndarray) -> pa.DataType:
-    return pa.int64() if ids.dtype.kind in "iu" else pa.string()
+    matrix = np.zeros((len(terms), queries.num_rows))
+    matrix[columns, np.repeat(np.arange(queries.num_rows), q_lengths)] = q_weights
+    d_terms, d_weights, d_lengths = _flat(docs)
+    rows = np.repeat(np.arange(docs.num_rows), d_lengths)
+    at = np.minimum(np.searchsorted(terms, d_terms), len(terms) - 1)
+    known = terms[at] == d_terms
+    rows, at, weights = rows[known], at[known], d_weights[known]
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, dtype=np.int64)
+    step = max(1, BLOCK_CELLS // queries.num_rows)
+    first = 0
+    while first < len(starts):
+        # as many whole documents as fit, one at least
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + step, side="right")) - 1)
+        begin, end = starts[first], starts[last] if last < len(starts) else len(rows)
+        products = matrix[at[begin:end]] * weights[begin:end, None]
+        yield rows[starts[first:last]], np.add.reduceat(products, starts[first:last] - begin, axis=0)
+        first = last
+
+
+def _best_in(queries: pa.Table, docs: pa.Table, min_sim: float, n: int) -> Iterator[pa.RecordBatch]:
+    """Per query the ``n`` best documents of each block, by falling similarity, then document id."""
+    if not queries.num_rows or not docs.num_rows:
+        return
+    scores = _dense_scores if "v" in queries.column_names else _sparse_scores
+    doc_ids = _ids(docs, "d")
+    for chunk_start in range(0, queries.num_rows, QUERY_CHUNK):
+        chunk = queries.slice(chunk_start, QUERY_CHUNK)
+        query_ids = _ids(chunk, "q")
+        for places, sims in scores(chunk, docs):
+            rows, cols = np.nonzero(sims >= min_sim - 10.0**-SIM_DIGITS)
+            values = np.round(sims[rows, cols], SIM_DIGITS)
+            enough = values >= min_sim
+            rows, cols, values = places[rows[enough]], cols[enough], values[enough]
+            if not len(rows):
+                continue
+            order = np.lexsort((doc_ids[rows], -values, cols))
+            rows, cols, values = rows[order], cols[order], values[order]
+            first = np.r_[True, cols[1:] != cols[:-1]]
+            keep = np.arange(len(cols)) - np.flatnonzero(first)[np.cumsum(first) - 1] < n
+            yield pa.RecordBatch.from_arrays(
+                [_column(query_ids[cols[keep]]), _column(doc_ids[rows[keep]]), pa.array(values[keep])],
+                names=["q", "d", "sim"],
+            )
+
+
+def _column(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids.astype(np.int64)) if ids.dtype.kind in "iu" else pa.array(ids.tolist(), type=pa.string())
 
 
 def best_pairs(
     queries: DataFrame, docs: DataFrame, min_sim: float, n: int, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """``q, d, sim``: the ``n`` best documents per query with ``sim >= min_sim``. Exact on both paths."""
+    """``q, d, sim``: the ``n`` best documents per query with ``sim >= min_sim``."""
     vector = [c for c in ("v", "t", "w") if c in queries.columns]
-    queries, docs = queries.dropna(subset=vector), docs.dropna(subset=vector)
-    id_type = {c: ("bigint" if t != "string" else "string") for c, t in [*queries.dtypes, *docs.dtypes] if c in "qd"}
+    queries, docs = queries.dropna(subset=["q", *vector]), docs.dropna(subset=["d", *vector])
+    id_type = {c: ("string" if t == "string" else "bigint") for c, t in [*queries.dtypes, *docs.dtypes] if c in "qd"}
     schema = f"q {id_type['q']}, d {id_type['d']}, sim double"
-    size = queries.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size(vector[0])).alias("cells")).first()
-    if not size["rows"]:
-        return queries.sparkSession.createDataFrame([], schema)
-    if size["cells"] * 12 <= broadcast_bytes:
-        pairs = _with_broadcast(queries, docs, min_sim, n, schema)
+
+    def measured(df: DataFrame) -> tuple[int, int]:
+        row = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size(vector[0])).alias("cells")).first()
+        return row["rows"], (row["cells"] or 0) * 12
+
+    query_rows, query_bytes = measured(queries)
+    if query_bytes <= broadcast_bytes:
+        pairs = _with_broadcast(docs, queries, min_sim, n, schema, sent="queries")
     else:
-        pairs = _with_blocks(queries, docs, min_sim, n, schema, size["rows"])
+        doc_rows, doc_bytes = measured(docs)
+        if doc_bytes <= broadcast_bytes:
+            if query_rows <= SPREAD_ROWS:
+                # a short table often sits in one file; every query still meets all documents in one task
+                queries = queries.repartition(queries.sparkSession.sparkContext.defaultParallelism, "q")
+            pairs = _with_broadcast(queries, docs, min_sim, n, schema, sent="docs")
+        else:
+            pairs = _with_blocks(queries, docs, min_sim, n, schema, query_rows, doc_rows)
     # a task keeps its best n per query before anything is shuffled
     return top_per_key(pairs, ["q"], [F.col("sim").desc(), F.col("d").asc()], n)
 
 
-def _with_broadcast(queries: DataFrame, docs: DataFrame, min_sim: float, n: int, schema: str) -> DataFrame:
-    block = queries.sparkSession.sparkContext.broadcast(queries.toArrow())
+def _with_broadcast(
+    large: DataFrame, small: DataFrame, min_sim: float, n: int, schema: str, sent: str
+) -> DataFrame:
+    block = small.sparkSession.sparkContext.broadcast(small.toArrow())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _queries(block.value)
         for batch in batches:
-            yield from _best_in(wanted, pa.Table.from_batches([batch]), min_sim, n)
+            own = pa.Table.from_batches([batch])
+            queries, docs = (block.value, own) if sent == "queries" else (own, block.value)
+            yield from _best_in(queries, docs, min_sim, n)
 
-    return docs.mapInArrow(score, schema)
+    return large.mapInArrow(score, schema)
 
 
-def _with_blocks(queries: DataFrame, docs: DataFrame, min_sim: float, n: int, schema: str, rows: int) -> DataFrame:
-    doc_blocks = max(1, -(-docs.count() // DOCS_PER_BLOCK))
-    query_blocks = max(1, -(-rows // QUERIES_PER_BLOCK))
+def _with_blocks(
+    queries: DataFrame, docs: DataFrame, min_sim: float, n: int, schema: str, query_rows: int, doc_rows: int
+) -> DataFrame:
+    doc_blocks = max(1, -(-doc_rows // DOCS_PER_BLOCK))
+    query_blocks = max(1, -(-query_rows // QUERIES_PER_BLOCK))
 
     def spread(df: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
         mine = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_n)).cast("int"))
@@ -158,13 +169,11 @@ def _with_blocks(queries: DataFrame, docs: DataFrame, min_sim: float, n: int, sc
 
     left = spread(docs, "d", "_db", doc_blocks, "_qb", query_blocks)
     right = spread(queries, "q", "_qb", query_blocks, "_db", doc_blocks)
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    empty = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")]).empty_table()
 
     def score(doc_part: pa.Table, query_part: pa.Table) -> pa.Table:
-        found = list(_best_in(_queries(query_part), doc_part, min_sim, n)) if query_part.num_rows else []
-        if found:
-            return pa.Table.from_batches(found)
-        empty = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
-        fields = [f.split() for f in schema.split(", ")]
-        return pa.schema([(name, empty[kind]) for name, kind in fields]).empty_table()
+        found = list(_best_in(query_part, doc_part, min_sim, n))
+        return pa.Table.from_batches(found) if found else empty
 
     return left.groupBy("_db", "_qb").cogroup(right.groupBy("_db", "_qb")).applyInArrow(score, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..functions import fixed_values as fv
 from ..operators.ranking import pick_first
 
 
@@ -16,9 +17,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
     """CSV with header and quoted multi-line text, read against a declared schema (no inference pass).
 
     Columns are matched by position, so the file order has to be the schema order; ``enforceSchema``
-    off makes Spark check the header against it.
+    off makes Spark check the header against it. The usual spellings of a missing value become null.
     """
-    return (
+    df = (
         spark.read.schema(schema)
         .option("header", True)
         .option("mode", "PERMISSIVE")
@@ -27,6 +28,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
         .option("escape", '"')
         .csv(path)
     )
+    missing = {
+        **{c: F.when(~F.col(c).isin(*fv.MISSING_TEXTS), F.col(c)) for c, t in df.dtypes if t == "string"},
+        **{c: F.nanvl(F.col(c), F.lit(None)) for c, t in df.dtypes if t == "double"},
+    }
+    return df.withColumns(missing) if missing else df
 
 
 def read_customers(spark: SparkSession, path: str, schema: T.StructType | str = schemas.CUSTOMERS) -> DataFrame:
@@ -46,6 +52,15 @@ def read_turns(spark: SparkSession, path: str, schema: T.StructType | str = sche
     return read_csv(spark, path, schema).dropna(subset=["input"])
 
 
+def with_turn_ids(turns: DataFrame, name: str = "message_id") -> DataFrame:
+    """A repeatable integer id per turn, for files that bring none: it only decides between equal times.
+
+    It is a hash of the row, so rereading or recomputing the table gives the same ids; rows that are equal in
+    every column may share one, and swapping those changes nothing.
+    """
+    return turns.withColumn(name, F.xxhash64(*[c for c in turns.columns if c != name]))
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return read_csv_inferred(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
 
@@ -58,7 +73,7 @@ def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        # an empty text stays different from a missing one, blanks are kept
+        # blanks around a text are kept
         writer = writer.option("header", True).option("escape", '"').option("emptyValue", '""')
         writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if partition_by:
