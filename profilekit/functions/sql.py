@@ -22,7 +22,7 @@ def _any_substring(low: str, words) -> str:
 
 def register(spark: SparkSession, prefix: str = "pk_") -> list[str]:
     """Temporary SQL functions over one text argument; Spark inlines their bodies into the plan."""
-    low = f"regexp_replace(lower(t), {_quote(tx.STRIP)}, '')"
+    low = f"trim(both {_quote(tx.BLANKS)} from lower(t))"
     rules = " ".join(f"when {_any_substring('lower(t)', words)} then {_quote(n)}" for n, words in fv.INTENTS.items())
     lex = tx.LABELS
     finance = f"{low} rlike {_quote(tx.whole_word_pattern(lex.finance))}"

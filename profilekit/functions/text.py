@@ -18,8 +18,14 @@ WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 SPACE = r"[\s\x0b\x1c-\x1f\x{0085}\p{Z}]"
 READABLE = "[a-záéíóúñ0-9ıſ]"
-VOICE = f"{WORD}{{3,}}{SPACE}{{2,}}{WORD}{{3,}}{SPACE}{{2,}}{WORD}{{3,}}"
-STRIP = f"^{SPACE}+|{SPACE}+$"
+# three runs of three or more word characters; the outer runs need only their nearest three, which keeps the
+# search linear in long words
+VOICE = f"{WORD}{{3}}{SPACE}{{2,}}{WORD}{{3,}}{SPACE}{{2,}}{WORD}{{3}}"
+# every character that counts as white space
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 # the agent's symbol test allows no inner white space
 SYMBOLS_NO_BLANK = r"^[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{0085}\p{Z}]+$"
 
@@ -53,7 +59,7 @@ def whole_word_pattern(words) -> str:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP, "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def normal(text: Column) -> Column:

@@ -38,10 +38,18 @@ def impute_group_median(df: DataFrame, column: str, group: str, default: float)
     )
 
 
-def dedup_keep_first(df: DataFrame, key: str, time: str) -> DataFrame:
-    """Earliest row per id, rows without a time last; all null ids count as one id."""
-    ties = [F.col(c).asc_nulls_first() for c in df.columns if c not in (key, time)]
-    return pick_first(df, [key], [F.col(time).asc_nulls_last(), *ties])
+def dedup_keep_first(df: DataFrame, key: str, time: str, ties: Sequence[str] | None = None) -> DataFrame:
+    """Earliest row per id, rows without a time last; all null ids count as one id.
+
+    Equal times go by ``ties``. Without them a hash of the other columns decides: it is taken before the
+    shuffle, so columns that nobody reads later are not shuffled for the sake of the order.
+    """
+    if ties is not None:
+        order = [F.col(c).asc_nulls_first() for c in ties]
+        return pick_first(df, [key], [F.col(time).asc_nulls_last(), *order])
+    others = [c for c in df.columns if c not in (key, time)]
+    hashed = df.withColumn("_tie", F.xxhash64(*others) if others else F.lit(0))
+    return pick_first(hashed, [key], [F.col(time).asc_nulls_last(), F.col("_tie")]).drop("_tie")
 
 
 def dedup_report(df: DataFrame, key: str) -> DataFrame:

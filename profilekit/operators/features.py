@@ -110,7 +110,18 @@ def turns_per_conv(df: DataFrame, conv: str = "conv_id", text: str = "input") ->
     conversation (a window could not).
     """
     counts = df.where(F.col(conv).isNotNull()).groupBy(conv).agg(F.count(text).alias("turnos_conv"))
-    return df.join(counts, conv, "left").select(*df.columns, "turnos_conv")
+    return join_known(df, counts, conv, df.columns[0]).select(*df.columns, "turnos_conv")
+
+
+NULL_SPREAD = 4096
+
+
+def join_known(df: DataFrame, side: DataFrame, key: str, spread: str) -> DataFrame:
+    """Left join on a key that may be null in many rows: those match nothing, so they are spread over tasks
+    by another column instead of meeting in one."""
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(NULL_SPREAD))).otherwise(F.lit(0))
+    salted = df.withColumn("_salt", salt)
+    return salted.join(side.withColumn("_salt", F.lit(0).cast("bigint")), [key, "_salt"], "left").drop("_salt")
 
 
 def timeline_features(turns: DataFrame, tie: str = "message_id") -> DataFrame:
@@ -168,8 +179,7 @@ def conv_features(labelled: DataFrame, tie: str = "message_id") -> DataFrame:
     n = F.sum("n")
     sized = F.sum(F.when(F.col("turnos").isNotNull(), F.col("n")))
     base = (
-        pair.where(F.col("user_id").isNotNull())
-        .join(sizes, "conv_id", "left")
+        join_known(pair.where(F.col("user_id").isNotNull()), sizes, "conv_id", "user_id")
         .groupBy("user_id")
         .agg(
             F.count("conv_id").alias("conv_n_total"),

@@ -40,3 +40,9 @@ def first_present(df: DataFrame, keys: Sequence[str], order: Sequence[Column], c
 
 def nulls_last(col: Column) -> list[Column]:
     return [col.isNull(), col]
+
+
+def settled(df: DataFrame, key: str) -> DataFrame:
+    """Rows placed and ordered by key. Seeded learners sample by partition and position, so this makes their
+    results repeat, also when a lost partition is computed again."""
+    return df.repartition(key).sortWithinPartitions(key)

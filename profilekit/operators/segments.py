@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from .ranking import settled
 
 
 @dataclass
@@ -69,18 +70,23 @@ def best_kmeans(
 ) -> KMeansModel:
     """The restart with the least training cost. ``vectors`` should be persisted by the caller."""
     best = None
+    # stop when the centres together moved by less than 1e-4 (squared), on standardised features
+    tol = (1e-4 / k) ** 0.5
     for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=features, predictionCol="cluster").fit(vectors)
+        model = KMeans(
+            k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol=features, predictionCol="cluster"
+        ).fit(vectors)
         if best is None or model.summary.trainingCost < best[0]:
             best = (model.summary.trainingCost, model)
     return best[1]
 
 
 def kmeans_sweep(
-    vectors: DataFrame, ks: Sequence[int] = tuple(range(2, 8)), restarts: int = 10, seed: int = 42, max_iter: int = 300
+    vectors: DataFrame, ks: Sequence[int] = tuple(range(2, 8)), restarts: int = 10, seed: int = 42,
+    max_iter: int = 300, key: str = "user_id",
 ) -> DataFrame:
     """``k, cost, silhouette`` (squared Euclidean) per number of clusters."""
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = settled(vectors, key).persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
     rows = []
     for k in ks:
@@ -145,7 +151,7 @@ class Segmentation:
         max_iter: int = 300,
     ) -> "Segmentation":
         scaler = Standardizer.fit(master, columns)
-        vectors = scaler.vectors(master).persist(StorageLevel.MEMORY_AND_DISK)
+        vectors = settled(scaler.vectors(master), "user_id").persist(StorageLevel.MEMORY_AND_DISK)
         model = best_kmeans(vectors, k, restarts, seed, max_iter)
         sizes = {r["cluster"]: r["count"] for r in model.transform(vectors).groupBy("cluster").count().collect()}
         vectors.unpersist()

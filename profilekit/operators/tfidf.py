@@ -18,11 +18,11 @@ from ..session import materialize
 from .blocks import best_pairs
 from .vectors import distinct_answers
 
-TOKEN = f"({WORD}{{2,}})"
+TOKEN = f"{WORD}{{2,}}"
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 1)
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
 
 
 def terms(tokens_col: Column) -> Column:

@@ -36,14 +36,18 @@ def _first_by_id(column: str, order: str) -> Column:
 
 
 def segment_summary(active: DataFrame, order: str = "id", dimensions: Sequence[str] = ("tono", "horario")) -> DataFrame:
-    """Per segment: users, share, first row's dimensions, mean noise of those that have one."""
+    """Per segment: users, share, first row's dimensions, mean noise of those that have one.
+
+    Rows without a segment form a group of their own; a table without the column is one unnamed segment.
+    """
     present = [d for d in dimensions if d in active.columns]
+    segment = F.col("segmento_nombre") if "segmento_nombre" in active.columns else F.lit(NO_SEGMENT)
     counts = (
-        active.withColumn("segmento", F.coalesce("segmento_nombre", F.lit(NO_SEGMENT)))
+        active.withColumn("segmento", segment)
         .groupBy("segmento")
         .agg(
             F.count(F.lit(1)).alias("n_usuarios"),
-            *[F.coalesce(_first_by_id(d, order), F.lit("")).alias(d) for d in present],
+            *[_first_by_id(d, order).alias(d) for d in present],
             F.coalesce(F.round(F.avg("noise_score_usuario"), 3), F.lit(0.0)).alias("noise_pct_medio"),
         )
     )
@@ -151,7 +155,7 @@ def users_per_segment(
     for i, name in reversed(list(enumerate(segment_order))):
         rank = F.when(F.col(segment) == name, i).otherwise(rank)
     picked = top_per_key(active, [segment], [F.col("user_id").asc(), F.col("id").asc()], n)
-    return picked.withColumn("orden", rank).orderBy("orden", segment, "user_id", "id")
+    return picked.withColumn("orden", rank).orderBy("orden", "user_id", "id")
 
 
 def latest_classification(classifications: DataFrame) -> DataFrame:
@@ -204,6 +208,13 @@ def latest_metrics(runs: DataFrame, schema: str = METRICS_JSON) -> DataFrame:
     return metrics_of_runs(newest, schema)
 
 
+def required(df: DataFrame, what: str) -> DataFrame:
+    """The frame itself, or an error when it has no row."""
+    if df.isEmpty():
+        raise LookupError(f"no {what} available")
+    return df
+
+
 def users_filter(profiles: DataFrame, pattern: str, n: int, columns: Sequence[str]) -> DataFrame:
     present = [c for c in columns if c in profiles.columns]
     found = profiles.where(F.col("segmento_nombre").rlike(f"(?i){pattern}")) if pattern else profiles

@@ -17,7 +17,7 @@ def r(x: str) -> str:
 
 
 def low(col: str = "input") -> str:
-    return f"regexp_replace(lower({col}), {lit(tx.STRIP)}, '', 'g')"
+    return f"regexp_replace(lower({col}), {lit(f'^{tx.SPACE}+|{tx.SPACE}+$')}, '', 'g')"
 
 
 def sub(col: str, words) -> str:
@@ -33,7 +33,8 @@ def symbols(col: str) -> str:
 
 
 def voice(col: str = "input") -> str:
-    return f"regexp_matches({col}, {lit(tx.VOICE)})"
+    runs = f"{tx.SPACE}{{2,}}".join([tx.WORD + "{3,}"] * 3)
+    return f"regexp_matches({col}, {lit(runs)})"
 
 
 def tokens(col: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fv
 from ..functions import text as tx
 from ..operators import sessions, tfidf, vectors, views
 from ..session import materialize, scratch_path
@@ -59,7 +60,26 @@ def turn_corpus(spark, sf) -> DataFrame:
     return vectors.first_turns(tables.corpus(role(spark, sf, "r_turns")), ["input", "output"])
 
 
-@query("stream_enrich")
+FIRST = "first({c} order by date nulls last, turn) filter (where {c} is not null) as {c}"
+ENRICHED = f"""
+ corpus as (select conv_id, {FIRST.format(c='input')}, {FIRST.format(c='output')} from r_turns where input is not null and output is not null and length(output) > 30 and conv_id is not null group by conv_id),
+ gated as (select *, gate and response_code is not null as short_circuit from ({q.gate('r_messages')})),
+ corpus_docs as (select conv_id as doc_id, input as text from corpus),
+ query_docs as (select message_id as query_id, input as text from gated where not short_circuit and input is not null),
+ {q.TFIDF},
+ tp as (select query_id as q, doc_id as d, sum(qw.weight * postings.weight) as sim from qw join postings using (term) group by all),
+ answers as (select conv_id as d, output from corpus),
+ {q.topk('tp', fv.SPARSE_MIN_SIM)},
+ docs as (select q as message_id, count(*) as n, string_agg(similitud::varchar, ' ' order by rn) as t from hits group by q)"""
+
+
+@query(
+    "stream_enrich",
+    q.with_(ENRICHED, roles=["r_turns", "r_messages", "r_propensity"])
+    + """select message_id, g.user_id, segmento_nombre, short_circuit as noise_gate, noise_type, noise_score,
+ coalesce(n, 0) as n_rag_docs, coalesce(t, '') as rag_sims from gated g left join docs using (message_id) left join r_propensity p on p.user_id = g.user_id""",
+    raw=True,
+)
 def stream_enrich(spark, sf):
     path, checkpoint = scratch_path(spark, "enriched"), scratch_path(spark, "enriched-checkpoint")
     corpus = materialize(turn_corpus(spark, sf), "corpus")
@@ -71,7 +91,11 @@ def stream_enrich(spark, sf):
             message_stream(spark, sf), profiles, model, corpus, path, checkpoint, "conv_id", "input", "output", rows,
         )
     )
-    return spark.read.parquet(path).drop("batch")
+    return with_text_sims(spark.read.parquet(path).drop("batch"))
+
+
+def with_text_sims(log: DataFrame) -> DataFrame:
+    return log.withColumn("rag_sims", F.array_join(F.transform("rag_sims", lambda x: x.cast("string")), " "))
 
 
 # --- turn log ----------------------------------------------------------------------------------------
@@ -103,8 +127,7 @@ def logged_turns(spark, sf) -> DataFrame:
     raw=True,
 )
 def turn_log(spark, sf):
-    joined = F.array_join(F.transform("rag_sims", lambda x: x.cast("string")), " ")
-    return logged_turns(spark, sf).withColumn("rag_sims", joined)
+    return with_text_sims(logged_turns(spark, sf))
 
 
 @query(

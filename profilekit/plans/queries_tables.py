@@ -218,7 +218,7 @@ LINES = "select l_orderkey * 10 + l_linenumber as linea_id, l_shipdate as fecha_
 )
 def dedup_keep_first(spark, sf):
     lines = spark.sql(LINES + " {t}", t=spark.read.parquet(f"{sf}/lineitem.parquet"))
-    return clean.dedup_keep_first(lines, "linea_id", "fecha_hora")
+    return clean.dedup_keep_first(lines, "linea_id", "fecha_hora", ["l_partkey", "l_suppkey", "l_extendedprice"])
 
 
 @query(

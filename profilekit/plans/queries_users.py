@@ -165,8 +165,8 @@ CLASSIFIED = duck("r_classifications") + (
 @query(
     "segment_summary",
     CLASSIFIED
-    + f""" select coalesce(segmento_nombre, 'Sin segmento') as segmento, count(*) as n_usuarios, {q.r('round(count(*) / sum(count(*)) over (), 3)')} as pct,
- coalesce(first(tono order by id), '') as tono, coalesce(first(horario order by id), '') as horario, {q.r('coalesce(round(avg(noise_score_usuario), 3), 0)')} as noise_pct_medio
+    + f""" select segmento_nombre as segmento, count(*) as n_usuarios, {q.r('round(count(*) / sum(count(*)) over (), 3)')} as pct,
+ first(tono order by id) as tono, first(horario order by id) as horario, {q.r('coalesce(round(avg(noise_score_usuario), 3), 0)')} as noise_pct_medio
  from c group by 1""",
 )
 def segment_summary(spark, sf):

@@ -87,8 +87,9 @@ def test_segment_summary_order_and_missing_name(spark):
         "id int, segmento_nombre string, tono string, noise_score_usuario double",
     )
     got = [tuple(r) for r in views.segment_summary(df).collect()]
-    assert got == [("A", 2, "", 0.5, 0.5), ("B", 1, "t4", 0.0, 0.25), ("Sin segmento", 1, "t2", 0.25, 0.25)]
+    assert got == [("A", 2, None, 0.5, 0.5), (None, 1, "t2", 0.25, 0.25), ("B", 1, "t4", 0.0, 0.25)]
     assert views.segment_summary(df.where("id > 99")).count() == 0
+    assert views.segment_summary(df.drop("segmento_nombre")).first().segmento == "Sin segmento"
 
 
 def test_users_per_segment_order(spark):
@@ -97,7 +98,7 @@ def test_users_per_segment_order(spark):
         "id int, user_id string, segmento_nombre string",
     )
     got = [(r.segmento_nombre, r.user_id) for r in views.users_per_segment(df, ["B", "A"]).collect()]
-    assert got == [("B", "u1"), ("B", "u3"), ("A", "u2"), ("A", "u6"), (None, "u5"), ("X", "u0")]
+    assert got == [("B", "u1"), ("B", "u3"), ("A", "u2"), ("A", "u6"), ("X", "u0"), (None, "u5")]
 
 
 def test_current_profile_null_of_the_table_wins(spark):
@@ -119,6 +120,8 @@ def test_latest_metrics_object_and_list(spark):
     )
     assert [(r.producto, r.test_auc) for r in views.latest_metrics(runs).collect()] == [("c", 0.5)]
     assert views.metrics_of_runs(runs).count() == 3
+    with pytest.raises(LookupError):
+        views.required(views.latest_metrics(runs.limit(0)), "metrics")
 
 
 def test_session_summary_without_documents(spark):
