@@ -24,13 +24,17 @@ def parse_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: v.parse_text_flag(F.col(c)) for c in todo}) if todo else df
 
 
-def impute_group_median(df: DataFrame, column: str, group: str, default: float) -> DataFrame:
+def impute_group_median(
+    df: DataFrame, column: str, group: str, default: float, accuracy: int | None = None
+) -> DataFrame:
     """Null becomes the median of its group, then the default. A null group gets the default.
 
-    The median aggregate keeps one counter per distinct value, so it combines before the shuffle. The
-    join is left unhinted: Spark broadcasts the medians only after checking their size.
+    The exact median keeps one counter per distinct value and combines before the shuffle: right for scales
+    such as 1 to 10. For a column with very many distinct values pass an ``accuracy`` (1 / relative error).
+    The join is left unhinted: Spark broadcasts the medians only after checking their size.
     """
-    medians = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.median(column).alias("_median"))
+    middle = F.median(column) if accuracy is None else F.percentile_approx(column, 0.5, accuracy)
+    medians = df.where(F.col(group).isNotNull()).groupBy(group).agg(middle.alias("_median"))
     return (
         df.join(medians, group, "left")
         .withColumn(column, F.coalesce(F.col(column), F.col("_median"), F.lit(float(default))))

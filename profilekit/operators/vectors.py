@@ -36,13 +36,10 @@ def dot_with(vec: Column, fixed: np.ndarray) -> Column:
 
     @F.arrow_udf("array<double>")
     def product(batch: pa.Array) -> pa.Array:
-        out: list = [None] * len(batch)
-        known = np.flatnonzero(np.asarray(batch.is_valid()))
-        if len(known):
-            sims = dense_rows(batch.take(pa.array(known)), kernel.shape[0]) @ kernel
-            for row, values in zip(known, sims):
-                out[row] = values
-        return pa.array(out, type=pa.list_(pa.float64()))
+        valid = np.asarray(batch.is_valid())
+        sims = dense_rows(batch.drop_null(), kernel.shape[0]) @ kernel
+        offsets = np.r_[0, np.cumsum(valid * kernel.shape[1])].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(sims.ravel()), mask=pa.array(~valid))
 
     return product(vec)
 

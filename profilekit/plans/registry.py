@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import require_settings
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -22,7 +24,7 @@ def query(name: str, check: str | None = None, raw: bool = False) -> Callable[[Q
     """Registers a query; ``raw`` keeps doubles as they are, for values that are only passed through."""
 
     def add(run: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: plain(run(spark, sf_dir), raw)
+        QUERIES[name] = lambda spark, sf_dir: plain(run(require_settings(spark), sf_dir), raw)
         if check is not None:
             CHECKS[name] = check
         return run

@@ -24,6 +24,12 @@ def build_session(app: str = "profilekit", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def require_settings(spark: SparkSession) -> SparkSession:
+    """Sets what results depend on in a session somebody else built: naive times are read as UTC."""
+    spark.conf.set("spark.sql.session.timeZone", REQUIRED_CONF["spark.sql.session.timeZone"])
+    return spark
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

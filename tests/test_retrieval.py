@@ -117,6 +117,15 @@ def test_prototype_model_round_trip_and_scores(spark):
     assert all(np.array_equal(again.vectors[k], model.vectors[k]) for k in model.vectors)
 
 
+def test_dot_products_keep_null_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [0.5, 0.0])], VEC)
+    fixed = np.array([[1.0, 1.0], [0.0, 2.0], [3.0, 0.0]])
+    got = {r.id: r.x for r in df.select("id", vectors.dot_with(F.col("embedding"), fixed).alias("x")).collect()}
+    assert got == {1: [3.0, 4.0, 3.0], 2: None, 3: [0.5, 0.0, 1.5]}
+    nothing = df.where("id = 2").select(vectors.dot_with(F.col("embedding"), fixed).alias("x"))
+    assert nothing.first().x is None
+
+
 def test_relative_score_with_zero_and_negative_sums(spark):
     df = spark.createDataFrame([(0.5, -0.5 - 1e-9), (-0.2, 0.5), (0.0, 0.0)], "a double, b double")
     got = [r[0] for r in df.select(vectors.relative_score(F.col("a"), F.col("b"))).collect()]

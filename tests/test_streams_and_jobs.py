@@ -71,6 +71,15 @@ def test_gate_stream_drops_repeats(spark, log, folder):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
+def test_messages_are_appended_from_a_stream(spark, log, folder):
+    stream = live.read_files(spark, folder, log.schema, files_per_trigger=1)
+    answered = stream.withColumn("output", F.concat(F.lit("r "), F.coalesce("input", F.lit(""))))
+    path, checkpoint = scratch_path(spark, "o"), scratch_path(spark, "c")
+    finish(live.write_table(tables.as_messages(answered, ["message_id"]), path, checkpoint))
+    got = spark.read.parquet(path)
+    assert got.count() == 2 * log.count() and got.select("message_id", "seq").distinct().count() == got.count()
+
+
 def test_enriched_stream_equals_batch(spark, sf, log, folder):
     corpus = turn_corpus(spark, sf).cache()
     model = tfidf.TfidfModel.fit(corpus, "conv_id", "input")

@@ -150,3 +150,12 @@ def test_unknown_segment_has_empty_dimensions(spark):
     df = spark.createDataFrame([(1, "A"), (2, "Z"), (3, None)], "id int, segmento_nombre string")
     got = {r.id: (r.tono, r.alertas_segmento) for r in profiles.segment_dims(df, dims, ["tono"]).collect()}
     assert got == {1: ("t", "x | y"), 2: ("", ""), 3: ("", "")}
+
+
+def test_dimension_join_is_broadcast_by_size(spark, sf):
+    from profilekit.plans.queries_users import role, segment_table
+
+    base = role(spark, sf, "r_propensity").select("user_id", "segmento_nombre")
+    joined = profiles.segment_dims(base, segment_table(spark, sf))
+    joined.collect()
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
