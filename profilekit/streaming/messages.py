@@ -19,7 +19,7 @@ from ..operators.sessions import turn_log
 from ..operators.tfidf import TfidfModel, tfidf_topk
 
 
-def read_files(spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_trigger: int = 1000) -> DataFrame:
+def read_files(spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_trigger: int = 16) -> DataFrame:
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
