@@ -132,7 +132,7 @@ from {orders}
 
 SPARK_DAY = "date_format(ts, 'EEEE')"
 DUCK_DAY = "dayname(ts)"
-_REFERENCE = re.compile(r"\{(" + "|".join(TABLES) + r")\}")
+_TABLE_NAME = re.compile(r"\{(" + "|".join(TABLES) + r")\}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,10 +142,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def role(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
     """The role view as a DataFrame; ``given`` replaces tables (a stream, for instance)."""
     text = VIEWS[name].replace("DAYNAME", SPARK_DAY)
-    used = sorted(set(_REFERENCE.findall(text)))
+    used = sorted(set(_TABLE_NAME.findall(text)))
     frames = {t: given.get(t) if t in given else table(spark, sf_dir, t) for t in used}
     # literal braces of JSON texts must survive the formatter
-    text = _REFERENCE.sub(r"<<\1>>", text).replace("{", "{{").replace("}", "}}")
+    text = _TABLE_NAME.sub(r"<<\1>>", text).replace("{", "{{").replace("}", "}}")
     text = re.sub(r"<<(\w+)>>", r"{\1}", text)
     return spark.sql(text, **frames)
 
@@ -154,6 +154,6 @@ def duck(*names: str) -> str:
     """``with`` clause that defines the role views for DuckDB."""
     parts = []
     for name in names:
-        text = _REFERENCE.sub(r"\1", VIEWS[name].replace("DAYNAME", DUCK_DAY))
+        text = _TABLE_NAME.sub(r"\1", VIEWS[name].replace("DAYNAME", DUCK_DAY))
         parts.append(f"{name} as ({text.strip()})")
     return "with " + ",\n".join(parts)
