@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_copies as copies
-from . import mixing, packed_ids, packing
+from . import mixing, packed_ids, packing, personal_data
 from .common import read
 from .tokens import tokenizer_file
 
@@ -52,3 +52,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_packed_ids")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return packed_ids.encode_and_read(read(spark, sf, "documents"), tokenizer_file()).drop("shard")
+
+
+@query("op2_personal_data")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_data.digest(personal_data.find(read(spark, sf, "documents")))
