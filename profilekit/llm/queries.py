@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_copies as copies
-from . import mixing, packed_ids, packing, personal_data
+from . import mixing, neighbours, packed_ids, packing, personal_data
 from .common import read
 from .tokens import tokenizer_file
 
@@ -57,3 +57,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_personal_data")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return personal_data.digest(personal_data.find(read(spark, sf, "documents")))
+
+
+@query("op3_nearest_vectors")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.search(read(spark, sf, "embeddings"), "vec_id % 100 = 0")
