@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_copies as copies
-from . import mixing, neighbours, packed_ids, packing, personal_data
+from . import cotraining, mixing, neighbours, packed_ids, packing, personal_data
 from .common import read
 from .tokens import tokenizer_file
 
@@ -62,3 +62,8 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_nearest_vectors")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.search(read(spark, sf, "embeddings"), "vec_id % 100 = 0")
+
+
+@query("op6_cotraining_quality")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return cotraining.classify(read(spark, sf, "documents"), read(spark, sf, "labels"))
