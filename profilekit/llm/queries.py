@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_copies as copies
-from . import cotraining, mixing, neighbours, packed_ids, packing, personal_data
+from . import cotraining, mixing, near_copies, neighbours, packed_ids, packing, personal_data
 from .common import read
 from .tokens import tokenizer_file
 
@@ -67,3 +67,8 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_cotraining_quality")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return cotraining.classify(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@query("op10_near_copies")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return near_copies.near_copies(read(spark, sf, "documents")).drop("row")
