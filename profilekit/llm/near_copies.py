@@ -114,7 +114,8 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b, similarity of those pairs whose sets have at least that Jaccard similarity."""
+    """a, b, similarity of those pairs whose sets (row, set) have at least that Jaccard similarity."""
+    kind = dict(sets.dtypes)["row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +128,7 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got)], names=["a", "b", "similarity"]).filter(keep)
 
     x, y = sets.select(F.col("row").alias("a"), F.col("set").alias("x")), sets.select(F.col("row").alias("b"), F.col("set").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
 def links(docs: DataFrame, signed: DataFrame, plan: Plan) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_copies as copies
-from . import cotraining, mixing, near_copies, neighbours, packed_ids, packing, personal_data
+from . import cotraining, line_copies, mixing, near_copies, neighbours, packed_ids, packing, personal_data
 from .common import read
 from .tokens import tokenizer_file
 
@@ -72,3 +72,8 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_near_copies")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return near_copies.near_copies(read(spark, sf, "documents")).drop("row")
+
+
+@query("op4_line_copies")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return line_copies.report(line_copies.line_matches(read(spark, sf, "documents")))
