@@ -55,9 +55,10 @@ def quotas(parts: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return quotients.withColumn("place", F.row_number().over(line)).where("place <= seats").groupBy("shard", "source").agg(F.count("*").alias("quota"))
 
 
-def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS,
-        block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
+def select(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS,
+           block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """One row per document: row, doc_id, size, source_size, target, passes (times it is taken whole), blocks
+    (further blocks taken of it), extra (their words).
 
     Null texts have no words, and documents without words are never taken; a null source is a source
     of its own. Repeated rows count each; other columns are ignored. Documents are dealt into shards by a seeded hash of
@@ -93,8 +94,26 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[
     line = W.partitionBy("shard", "key").orderBy(_place(name, "size", "block"), "doc_id", "size", "block", "row")
     before = F.coalesce(F.sum("words").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     chosen = blocks.withColumn("before", before).join(given, ["shard", "key"]).where(F.col("before") + F.col("words") / 2 <= F.col("need"))
-    extra = chosen.groupBy("row").agg(F.sum("words").alias("extra"))
-    return (
-        placed.join(given.select("shard", "key", "passes"), ["shard", "key"], "left").join(extra, "row", "left")
-        .select("doc_id", "size", "source_size", "target", (F.coalesce("passes", F.lit(0)) * F.col("size") + F.coalesce("extra", F.lit(0))).cast("long").alias("taken"))
+    extra = chosen.groupBy("row").agg(F.sum("words").alias("extra"), F.sort_array(F.collect_list("block")).alias("blocks"))
+    return placed.join(given.select("shard", "key", "passes"), ["shard", "key"], "left").join(extra, "row", "left").select(
+        "row", "doc_id", "size", "source_size", "target", F.coalesce("passes", F.lit(0)).cast("int").alias("passes"), "blocks", F.coalesce("extra", F.lit(0)).alias("extra")
     )
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted). See ``select``."""
+    return select(docs, **options).select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, **options) -> DataFrame:
+    """What the mix takes, with all columns of ``docs``: a row for each whole pass over a document, and one with the
+    text of its further blocks. ``n_chars``, where the table has it, follows the text. ``docs`` is a table that reads alike twice."""
+    chosen = select(docs, block_words=block_words, **options).where("size > 0").select(F.col("row").alias("_row"), F.col("passes").alias("_passes"), F.col("blocks").alias("_blocks"))
+    copies = F.sequence(F.when(F.col("_blocks").isNull(), 1).otherwise(0), F.col("_passes"))
+    taken = docs.withColumn("_row", F.monotonically_increasing_id()).join(chosen, "_row").where("_passes > 0 or _blocks is not null").withColumn("_copy", F.explode(copies))
+    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), 0)
+    parts = F.transform("_blocks", lambda b: F.array_join(F.slice(words, b * block_words + 1, block_words), ""))
+    out = taken.withColumn("text", F.when(F.col("_copy") == 0, F.array_join(parts, "")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
