@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_copies as copies
-from . import cotraining, line_copies, mixing, near_copies, neighbours, packed_ids, packing, personal_data
+from . import cotraining, line_copies, mixing, near_copies, neighbours, packed_ids, packing, passages, personal_data
 from .common import read
 from .tokens import tokenizer_file
 
@@ -77,3 +77,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_line_copies")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return line_copies.report(line_copies.line_matches(read(spark, sf, "documents")))
+
+
+@query("op7_repeated_passages")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.repeated_passages(read(spark, sf, "documents"))
