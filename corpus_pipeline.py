@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from profilekit.llm import cotraining, line_copies, mixing, near_copies, packing
-from profilekit.llm.common import read
+from profilekit.llm.common import materialize, read
 from profilekit.llm.tokens import tokenizer_file
-from profilekit.session import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 #: Texts are worked on in pieces of about so many bytes, so that memory in a task does not follow the batch.
 CHUNK_BYTES = 1 << 20
 #: Words are runs of other characters than these.
@@ -27,6 +29,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back; what its stages shuffled is deleted as soon as it is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return session.materialize(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def utf8(column: str = "text") -> Column:
     """The text's bytes; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import chunks, utf8
+from .common import chunks, materialize, utf8
 
 
 @dataclass(frozen=True)

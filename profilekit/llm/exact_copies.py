@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import SPACES, utf8
+from .common import SPACES, materialize, utf8
 
 #: Bytes of text that a task's first trie holds at most; it is emptied, and a new one begun, beyond.
 TRIE_BYTES = 64 << 20

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from .common import materialize
+
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +18,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import chunks, lower_joined, mix, utf8, word_hashes
+from .common import chunks, lower_joined, materialize, mix, utf8, word_hashes
 from .near_copies import verify
 
 
 @dataclass(frozen=True)
 class Plan:
     """``rarity_bits``: rarity is counted in 2 ** rarity_bits buckets of words, one byte each on every executor, whatever the corpus.
-    Buckets only order words; results are exact for any number."""
+    Buckets only order words; results are exact for any number. Words are joined in ``slices`` turns, so that only a part
+    of the entries is on disk at once."""
 
     similarity: float = 0.8
     rarity_bits: int = 24
+    slices: int = 2
 
 
 #: Words whose buckets are counted before they are handed on.
@@ -102,10 +104,10 @@ def signed_lines(docs: DataFrame, plan: Plan) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 part.column("d").take(pa.array(text)), part.column("row").take(pa.array(text)), pa.array((own - first[text]).astype(np.int32)),
                 pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(digests[0]), pa.array(digests[1]),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[use].view(np.int64))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[use].astype(np.int32))),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array((hashes[use] >> np.uint64(32)).astype(np.uint32).view(np.int32))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[use].astype(np.int32))),
             ], names=["d", "r", "l", "n", "bits", "x1", "x2", "words", "places"])
 
-    out = docs.select("d", "row", utf8().alias("text")).mapInArrow(run, "d long, r long, l int, n int, bits long, x1 long, x2 long, words array<long>, places array<int>")
+    out = docs.select("d", "row", utf8().alias("text")).mapInArrow(run, "d long, r long, l int, n int, bits long, x1 long, x2 long, words array<int>, places array<int>")
     return out.select(F.struct("d", "r", "l").alias("id"), "n", "bits", "x1", "x2", "words", "places")
 
 
@@ -156,25 +158,32 @@ def line_matches(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     docs = numbered(docs)
     lines = materialize(signed_lines(docs, plan), "lines")
     classes = lines.groupBy("x1", "x2").agg(F.min("id").alias("first"))
-    reps = lines.groupBy("x1", "x2").agg(F.min_by(F.struct("id", "n", "bits", "words", "places"), "id").alias("s")).select("s.*")
+    reps = materialize(lines.groupBy("x1", "x2").agg(F.min_by(F.struct("id", "n", "bits", "words", "places"), "id").alias("s")).select("s.*").where(F.size("words") > 0), "representatives")
     entries = reps.select("id", "n", "bits", F.explode(F.arrays_zip("words", "places")).alias("e")).select("id", "n", "bits", F.col("e.words").alias("word"), F.col("e.places").alias("place"))
     group = W.partitionBy("word").orderBy("id")
-    ranked = entries.withColumn("rank", F.row_number().over(group)).withColumn("f", F.first(F.struct("id", "n", "place", "bits")).over(group))
-    ranked = materialize(ranked.where("rank > 1"), "entries")
-    test = _may_match(plan.similarity, F.col("n"), F.col("place"), F.col("bits"), F.col("f.n"), F.col("f.place"), F.col("f.bits"))
-    pairs = materialize(ranked.where(test).select(F.col("id").alias("a"), F.col("f.id").alias("b")).distinct(), "pairs")
+    # column by column: a struct would be shuffled beside them
+    tops = {f"f_{c}": F.first(c).over(group.rowsBetween(W.unboundedPreceding, 0)) for c in ("id", "n", "place", "bits")}
+    entries = entries.withColumns({"rank": F.row_number().over(group), "last": F.lead("id").over(group).isNull(), **tops}).where("rank > 1")
+    test = _may_match(plan.similarity, F.col("n"), F.col("place"), F.col("bits"), F.col("f_n"), F.col("f_place"), F.col("f_bits"))
+    # of a word in two lines only, nothing is left but the pair
+    entries = entries.withColumn("f", F.when(test, F.col("f_id"))).where("f is not null or rank > 2 or not last").select("word", "id", "n", "place", "bits", "rank", "f")
+    turn = F.pmod("word", F.lit(plan.slices))
+    ranked = [materialize(entries.where(turn == k), "entries") for k in range(plan.slices)]
+    pairs = materialize(reduce(DataFrame.unionByName, [r.where("f is not null").select(F.col("id").alias("a"), F.col("f").alias("b")) for r in ranked]).distinct(), "pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         return materialize(verify(pairs, materialize(word_sets(docs, wanted), "sets"), plan.similarity), "matches")
 
     first = verified(pairs)
-    later = ranked.select("word", "id", "n", "place", "bits", "rank")
-    asking = later.where("rank > 2").join(first.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
-    other = later.select("word", F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("bits").alias("c"))
+    found = first.select(F.col("a").alias("id")).distinct()
     test = _may_match(plan.similarity, F.col("n"), F.col("place"), F.col("bits"), F.col("m"), F.col("q"), F.col("c"))
-    rest = asking.join(other, "word").where((F.col("b") < F.col("id")) & test).select(F.col("id").alias("a"), "b").distinct()
-    rest = verified(materialize(rest.join(pairs, ["a", "b"], "left_anti"), "pairs"))
+    rest = []
+    for part in ranked:
+        asking = part.where("rank > 2").drop("f", "rank").join(found, "id", "left_anti")
+        other = part.select("word", F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("bits").alias("c"))
+        rest.append(materialize(asking.join(other, "word").where((F.col("b") < F.col("id")) & test).select(F.col("id").alias("a"), "b").distinct(), "pairs"))
+    rest = verified(materialize(reduce(DataFrame.unionByName, rest).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs"))
     match = first.unionByName(rest).groupBy(F.col("a").alias("first")).agg(F.min(F.struct("b", "similarity")).alias("m"))
     placed = lines.select("id", "x1", "x2").join(classes, ["x1", "x2"]).join(match, "first", "left")
     same = F.col("id") != F.col("first")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from .common import materialize
+
 
 #: Words in a block; the unit of the quotas.
 BLOCK_WORDS = 64

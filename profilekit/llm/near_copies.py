@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import chunks, lower_joined, mix, shingles, utf8, word_hashes
+from .common import chunks, lower_joined, materialize, mix, shingles, utf8, word_hashes
 from .graph import components
 
 

@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import mix
+from .common import materialize, mix
 
 
 @dataclass(frozen=True)

@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize, scratch_path
+from ..session import scratch_path
 from . import tokens
-from .common import utf8
+from .common import materialize, utf8
 
 MAGIC = b"bits0001"
 BLOCK_IDS = 1 << 14

@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from ..session import materialize
 from . import tokens
-from .common import utf8
+from .common import materialize, utf8
 
 CAPACITY = 2048
 #: Pieces in a group, about; a group is one task's work.

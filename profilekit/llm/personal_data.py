@@ -13,7 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from .common import materialize
+
 
 KINDS = ("email", "ip", "card", "phone")
 
