@@ -13,8 +13,10 @@ from ..functions import fixed_values as fv
 from ..operators.ranking import pick_first
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with header and quoted multi-line text, read against a declared schema (no inference pass).
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
+    """CSV with header and quoted text, read against a declared schema (no inference pass).
+
+    Large files are split among tasks, unless quoted texts may hold line breaks (``multi_line``): then one task reads a file.
 
     Columns are matched by position, so the file order has to be the schema order; ``enforceSchema``
     off makes Spark check the header against it. The usual spellings of a missing value become null.
@@ -24,7 +26,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("enforceSchema", False)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .csv(path)
     )
@@ -48,8 +50,8 @@ def read_transactions(spark: SparkSession, path: str, schema: T.StructType | str
 
 
 def read_turns(spark: SparkSession, path: str, schema: T.StructType | str = schemas.TURNS) -> DataFrame:
-    """Turns without a message are dropped."""
-    return read_csv(spark, path, schema).dropna(subset=["input"])
+    """Turns without a message are dropped; messages may hold line breaks."""
+    return read_csv(spark, path, schema, multi_line=True).dropna(subset=["input"])
 
 
 def with_turn_ids(turns: DataFrame, name: str = "message_id") -> DataFrame:
