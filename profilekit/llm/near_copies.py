@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,10 @@ class Plan:
     rows: int = 6
 
 
+#: Parity bits of a set of shingles, in 64-bit numbers.
+BITS = 8
+
+
 def weighted_shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document number, hash and weight of the distinct shingles of all texts, in order. A shingle that
     occurs n times weighs 1 + ln n; a text with fewer words is one shingle, one without words has none."""
@@ -100,16 +106,25 @@ def sign(docs: DataFrame, plan: Plan) -> DataFrame:
     return own.mapInArrow(run, "row long, doc_id long, digest binary, n long, keys array<long>")
 
 
+def parity_bits(of: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """64 * BITS bits a document: how many of its shingles fall on each, modulo 2. Two sets that differ in d shingles differ in d bits at most."""
+    at = of * (64 * BITS) + (mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.int64) % (64 * BITS)
+    return np.packbits((np.bincount(at, minlength=n * 64 * BITS) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """row, set: the sorted hashes of each document's shingles."""
+    """row, set: the sorted hashes of each document's shingles, bits: their parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             of, hashes, _ = weighted_shingles(part.column("text").to_pylist(), words)
             cut = np.searchsorted(of, np.arange(part.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([hashes[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["row", "set"])
+            sets = pa.array([hashes[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
+            ends = pa.array(np.arange(part.num_rows + 1) * BITS, pa.int32())
+            bits = pa.ListArray.from_arrays(ends, pa.array(parity_bits(of, hashes, part.num_rows)))
+            yield pa.RecordBatch.from_arrays([part.column("row"), sets, bits], names=["row", "set", "bits"])
 
-    return docs.select("row", utf8().alias("text")).mapInArrow(run, "row long, set binary")
+    return docs.select("row", utf8().alias("text")).mapInArrow(run, "row long, set binary, bits array<long>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -133,9 +148,10 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def links(docs: DataFrame, signed: DataFrame, plan: Plan) -> DataFrame:
     """a, b, similarity: verified links between texts with different shingles, enough to connect all that are linked.
 
-    In each bucket the text that meets the most others over all its buckets is the first to be compared with.
-    Texts of one bucket that are not connected after that are all compared with each other, so a
-    large group of near copies takes about as many comparisons as it has members, and no candidate is dropped.
+    In each bucket the text that meets the most others over all its buckets is the first to be compared with, so
+    a large group of near copies takes about as many comparisons as it has members. Texts of one bucket that are not
+    connected after that are all compared with each other, but for pairs whose lengths or parity bits show that they differ
+    too much: these bound the similarity from above, so no link is lost.
     """
     texts = signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     at = texts.select("row", "n", F.explode("keys").alias("key"))
@@ -143,22 +159,24 @@ def links(docs: DataFrame, signed: DataFrame, plan: Plan) -> DataFrame:
     at = materialize(at.join(many, "key"), "bands")
     met = at.groupBy("row").agg(F.sum("members").alias("met"))
     at = materialize(at.join(met, "row").select("key", "row", "n", "met"), "bands")
+    needed = at.select("row").distinct()
+    sets = materialize(shingle_sets(docs.join(needed, "row", "left_semi"), plan.words), "sets")
     first = at.groupBy("key").agg(F.max(F.struct("met", F.negative("row").alias("_o"), "n", "row")).alias("f")).select("key", F.col("f.row").alias("b"), F.col("f.n").alias("m"))
     near = F.least("n", "m") >= F.greatest("n", "m") * plan.similarity - 1e-9
+    # sets as similar as that differ in so many shingles at most
+    differ = reduce(add, [F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("other")[k])) for k in range(BITS)])
+    alike = near & (differ <= (F.col("n") + F.col("m")) * ((1 - plan.similarity) / (1 + plan.similarity)) + 1e-6)
     pairs = materialize(at.join(first, "key").where(F.col("row") != F.col("b")).where(near).select(F.col("row").alias("a"), "b").distinct(), "pairs")
-    needed = at.select("row").distinct()
-    sets = materialize(shingle_sets(docs.join(needed, "row", "left_semi"), plan.words), "sets")
     sure = materialize(verify(pairs, sets, plan.similarity), "links")
     placed = at.join(components(sure).select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    placed = materialize(placed.join(open_keys, "key", "left_semi").select("key", "row", "n", "root"), "open")
     # each text outside its bucket's largest part meets all others there: no pair lies within one part
     part = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
-    largest = part.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top")).select("key", F.col("top.root").alias("top"))
-    x = placed.join(largest, "key").where("root != top").select("key", F.col("row").alias("a"), F.col("n").alias("n"), F.col("root").alias("ra"), "top")
-    y = placed.select("key", F.col("row").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
+    largest = part.groupBy("key").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.root").alias("top"))
+    placed = materialize(placed.join(largest, "key").join(sets.select("row", "bits"), "row").select("key", "row", "n", "root", "top", "bits"), "open")
+    x = placed.where("root != top").select("key", F.col("row").alias("a"), "n", F.col("root").alias("ra"), "bits")
+    y = placed.select("key", F.col("row").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"), "top", F.col("bits").alias("other"))
     # of two texts outside the largest part, the smaller asks
-    rest = x.join(y, "key").where("ra != rb and (rb = top or a < b)").where(near).select("a", "b").distinct()
+    rest = x.join(y, "key").where("ra != rb and (rb = top or a < b)").where(alike).select("a", "b").distinct()
     rest = rest.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     return sure.unionByName(materialize(verify(materialize(rest, "pairs"), sets, plan.similarity), "links"))
 

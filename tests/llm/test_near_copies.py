@@ -139,3 +139,15 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     assert got == {x: top(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    for size in (1, 30, 200):
+        x, y = (np.unique(rng.choice(pool, size)) for _ in range(2))
+        of = np.repeat([0, 1], [len(x), len(y)])
+        a, b = nc.parity_bits(of, np.concatenate([x, y]), 3).reshape(3, nc.BITS)[:2]
+        differ = sum(int(v).bit_count() for v in (a ^ b).view(np.uint64))
+        assert differ <= len(np.setxor1d(x, y)) and differ % 2 == len(np.setxor1d(x, y)) % 2
+    assert not nc.parity_bits(of, np.concatenate([x, y]), 3).reshape(3, nc.BITS)[2].any()
