@@ -20,10 +20,11 @@ from .role_views import duck, role, table
 
 
 def message_stream(spark, sf) -> DataFrame:
-    """The message role over a file stream of the events table."""
-    schema = table(spark, sf, "events").schema
-    events = live.read_files(spark, sf, schema, glob="events.parquet")
-    return role(spark, sf, "r_messages", events=events)
+    """The message role over a stream of several files of the events table, delivered over micro-batches."""
+    events = table(spark, sf, "events")
+    path = scratch_path(spark, "arriving")
+    events.repartitionByRange(4, "ts").write.parquet(path)
+    return role(spark, sf, "r_messages", events=live.read_files(spark, path, events.schema, files_per_trigger=2))
 
 
 def _finished(running) -> None:
@@ -39,20 +40,19 @@ def _finished(running) -> None:
 )
 def stream_gate(spark, sf):
     path, checkpoint = scratch_path(spark, "routed"), scratch_path(spark, "routed-checkpoint")
-    gated = live.gate(live.drop_repeats(message_stream(spark, sf))).select(*GATED.split(", "), "short_circuit")
-    _finished(live.write_routed(gated, path, checkpoint))
-    return live.read_routed(spark, path)
+    _finished(live.write_routed(message_stream(spark, sf), path, checkpoint))
+    return live.read_routed(spark, path).select(*GATED.split(", "), "short_circuit")
 
 
 @query(
     "stream_turns",
     q.with_(SESSIONS, roles=["r_messages"])
-    + f"select message_id, user_id, session_no::bigint as session_no, turno, least(turno, {live.HISTORY})::int as recordados from trn",
+    + "select message_id, user_id, session_no::bigint as session_no, turno from trn",
 )
 def stream_turns(spark, sf):
     path, checkpoint = scratch_path(spark, "turns"), scratch_path(spark, "turns-checkpoint")
     _finished(live.write_table(live.session_turns(message_stream(spark, sf)), path, checkpoint))
-    return spark.read.parquet(path)
+    return live.settled_turns(spark.read.parquet(path))
 
 
 def turn_corpus(spark, sf) -> DataFrame:

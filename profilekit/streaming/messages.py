@@ -6,16 +6,17 @@ like): it bounds a micro-batch and with it the rows one user can have in it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import with_gate, with_route
-from ..operators.sessions import turn_log
+from ..operators.sessions import turn_log, turn_number
 from ..operators.tfidf import TfidfModel, tfidf_topk
 
 
@@ -26,23 +27,52 @@ def read_files(spark: SparkSession, folder: str, schema, glob: str | None = None
     return reader.parquet(folder)
 
 
-def drop_repeats(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Delivered-twice messages are dropped; ``date`` becomes a zoned timestamp because watermarks need one."""
-    timed = messages.withColumn("_event_time", F.col("date").cast("timestamp")).withWatermark("_event_time", delay)
-    return timed.dropDuplicatesWithinWatermark(["message_id"]).drop("_event_time")
+def new_messages(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
+    """The messages of a micro-batch without those delivered before, in it or in ``earlier`` batches.
+
+    A repeat has the same ``message_id`` and day. Messages without an id are never repeats. No message is too late.
+    Of ``earlier`` (message_id, dia) only the days that the batch touches are read.
+    """
+    batch = batch.withColumn("dia", F.to_date("date"))
+    named = batch.where(F.col("message_id").isNotNull()).dropDuplicates(["message_id", "dia"])
+    if earlier is not None:
+        low, high = batch.agg(F.min("dia"), F.max("dia")).first()
+        earlier = earlier.where(F.col("dia").isNull() | F.col("dia").between(F.lit(low), F.lit(high)))
+        same = (named["message_id"] == earlier["message_id"]) & named["dia"].eqNullSafe(earlier["dia"])
+        named = named.join(earlier, same, "left_anti")
+    return named.unionByName(batch.where(F.col("message_id").isNull()))
 
 
 def gate(messages: DataFrame, text: str = "input") -> DataFrame:
     return with_route(with_gate(messages, text))
 
 
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What batches before ``batch_id`` have routed, if any has written yet."""
+    try:
+        written = spark.read.schema("message_id bigint, batch bigint, dia date, short_circuit string").parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return written.where(F.col("batch") < batch_id).select("message_id", "dia")
+
+
 def write_routed(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Gated turns and turns that go on to the answer path land in two partitions of one table."""
+    """Gates messages and writes them once each, gated turns and those that go on to the answer path in two partitions.
+
+    Each micro-batch overwrites its own folder, so a repeated batch does not double rows; inside, messages lie by day.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        fresh = gate(new_messages(batch, _earlier(batch.sparkSession, path, batch_id)))
+        fresh.write.mode("overwrite").partitionBy("dia", "short_circuit").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
+
     return (
-        messages.writeStream.format("parquet")
-        .option("path", path)
+        messages.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
-        .partitionBy("short_circuit")
         .trigger(availableNow=True)
         .start()
     )
@@ -50,50 +80,59 @@ def write_routed(messages: DataFrame, path: str, checkpoint: str) -> StreamingQu
 
 def read_routed(spark: SparkSession, path: str) -> DataFrame:
     """The routed table; folder names are text, the flag is a boolean again."""
-    return spark.read.parquet(path).withColumn("short_circuit", F.col("short_circuit").cast("boolean"))
+    routed = spark.read.parquet(path).drop("batch", "dia")
+    return routed.withColumn("short_circuit", F.col("short_circuit").cast("boolean"))
 
 
 # --- sessions with state -----------------------------------------------------------------------------
 
-TURNS = "message_id bigint, user_id bigint, session_no bigint, turno bigint, recordados int"
-STATE = "session_no bigint, turno bigint, historial array<string>"
-HISTORY = 20
-
-
-def _session_turns(history: int) -> Callable:
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session, turn, recent = state.get if state.exists else (0, 0, [])
-        recent = list(recent)
-        rows = pd.concat(batches).sort_values(["date", "message_id"], na_position="last")
-        out = []
-        for message, text, reset in zip(rows["message_id"], rows["input"], rows["reset"]):
-            if reset:
-                session, turn, recent = session + 1, 0, []
-            turn += 1
-            recent = [*recent, None if pd.isna(text) else text][-history:]
-            out.append((message, key[0], session, turn, len(recent)))
-        state.update((session, turn, recent))
-        yield pd.DataFrame(out, columns=["message_id", "user_id", "session_no", "turno", "recordados"])
-
-    return advance
-
-
-def session_turns(messages: DataFrame, history: int = HISTORY) -> DataFrame:
-    """Session and turn numbers with a state of fixed size per user: counters and the last texts.
-
-    A reset clears the history. Messages are numbered in arrival order of their micro-batches and in time
-    order inside one.
+TURNS = "message_id bigint, user_id bigint, date timestamp_ntz, reset boolean, session_no bigint, turno bigint, tarde boolean"
+STATE = "session_no bigint, turno bigint, fecha bigint, mensaje bigint"
+
+
+def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    session, turn, last, last_id = state.get if state.exists else (0, 0, None, None)
+    rows = pd.concat(batches).sort_values(["date", "message_id"], na_position="last", ignore_index=True)
+    reset = rows["reset"].fillna(False).astype(bool)
+    undated = rows["date"].isna()
+    at = rows["date"].astype("datetime64[us]").astype("int64")
+    number = session + reset.cumsum()
+    turno = rows.groupby(number).cumcount() + 1 + turn * (number == session)
+    late = undated
+    if last is not None:
+        late = undated | (at < last) | ((at == last) & (rows["message_id"] < last_id))
+    dated = rows.index[~undated]
+    if len(dated) and (last is None or (at[dated[-1]], rows["message_id"][dated[-1]]) > (last, last_id)):
+        last, last_id = int(at[dated[-1]]), int(rows["message_id"][dated[-1]])
+    state.update((int(number.iloc[-1]), int(turno.iloc[-1]), last, last_id))
+    yield rows[["message_id", "date"]].assign(user_id=key[0], reset=reset, session_no=number, turno=turno, tarde=late)[
+        ["message_id", "user_id", "date", "reset", "session_no", "turno", "tarde"]
+    ]
+
+
+def session_turns(messages: DataFrame) -> DataFrame:
+    """Live session and turn numbers; the state of a user is two counters and the time and id of the last message.
+
+    Micro-batches are numbered as they arrive, in time order inside one. A message that comes after a later one of
+    its user, or without a time, is marked ``tarde``; ``settled_turns`` numbers the users who have such messages anew.
     """
     return (
-        messages.select("message_id", "user_id", "date", "input", "reset")
+        messages.select("message_id", "user_id", "date", "reset")
         .where(F.col("user_id").isNotNull())
         .groupBy("user_id")
-        .applyInPandasWithState(
-            _session_turns(history), TURNS, STATE, "append", GroupStateTimeout.NoTimeout
-        )
+        .applyInPandasWithState(_advance, TURNS, STATE, "append", GroupStateTimeout.NoTimeout)
     )
 
 
+def settled_turns(written: DataFrame) -> DataFrame:
+    """Session and turn numbers in time order, whatever the order of arrival: live numbers stay for users without late messages."""
+    late = written.where("tarde").select("user_id").distinct()
+    live = written.join(late, "user_id", "left_anti")
+    again = turn_number(written.drop("session_no", "turno").join(late, "user_id", "left_semi"))
+    columns = ["message_id", "user_id", "session_no", "turno"]
+    return live.select(columns).unionByName(again.select(*[F.col(c).cast("bigint") for c in columns]))
+
+
 def write_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return (
         stream.writeStream.format("parquet")

@@ -41,12 +41,47 @@ def test_times_follow_ids(log):
     assert [r.date for r in rows] == sorted(r.date for r in rows)
 
 
-def test_session_state_over_micro_batches(spark, log, folder):
-    stream = live.read_files(spark, folder, log.schema, files_per_trigger=1)
+@pytest.fixture(scope="module")
+def newest_first(spark, log):
+    """The log as four files, the newest delivered first, one of them twice."""
+    path = scratch_path(spark, "late")
+    for low, high in ((700, 10**9), (301, 700), (300, 301), (0, 300), (300, 500)):
+        log.where((F.col("message_id") >= low) & (F.col("message_id") < high)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@pytest.mark.parametrize("files", [1, 2, 16])
+def test_late_files_lose_no_gated_row(spark, log, newest_first, files):
+    path, checkpoint = scratch_path(spark, "o"), scratch_path(spark, "c")
+    finish(live.write_routed(live.read_files(spark, newest_first, log.schema, files_per_trigger=files), path, checkpoint))
+    want = tx.with_route(tx.with_gate(log))
+    got = live.read_routed(spark, path).select(*want.columns)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_messages_without_an_id_or_a_time_are_kept(spark):
+    schema = "message_id bigint, date timestamp_ntz"
+    rows = spark.createDataFrame([(None, None), (None, None), (1, None), (1, None), (2, None)], schema)
+    seen = spark.createDataFrame([(2, None)], "message_id bigint, dia date")
+    got = sorted((r.message_id or 0) for r in live.new_messages(rows, seen).collect())
+    assert got == [0, 0, 1]
+
+
+@pytest.mark.parametrize("files", [1, 2, 16])
+@pytest.mark.parametrize("order", ["folder", "late"])
+def test_session_numbers_whatever_the_arrival(spark, log, folder, files, order):
+    source = folder
+    if order == "late":
+        source = scratch_path(spark, "late")
+        for low, high in ((700, 10**9), (301, 700), (0, 301)):
+            log.where((F.col("message_id") >= low) & (F.col("message_id") < high)).coalesce(1).write.mode("append").parquet(source)
+    stream = live.read_files(spark, source, log.schema, files_per_trigger=files)
     path, checkpoint = scratch_path(spark, "o"), scratch_path(spark, "c")
-    finish(live.write_table(live.session_turns(stream, history=4), path, checkpoint))
-    got = {r.message_id: (r.session_no, r.turno, r.recordados) for r in spark.read.parquet(path).collect()}
-    want = {r.message_id: (r.session_no, r.turno, min(r.turno, 4)) for r in sessions.turn_number(log).collect()}
+    finish(live.write_table(live.session_turns(stream), path, checkpoint))
+    written = spark.read.parquet(path)
+    assert (written.where("tarde").count() > 0) == (order == "late" and files < 16)
+    got = {r.message_id: (r.session_no, r.turno) for r in live.settled_turns(written).collect()}
+    want = {r.message_id: (r.session_no, r.turno) for r in sessions.turn_number(log).collect()}
     assert got == want
 
 
@@ -63,9 +98,9 @@ def test_state_survives_a_restart(spark, log):
 def test_gate_stream_drops_repeats(spark, log, folder):
     twice = scratch_path(spark, "twice")
     log.unionAll(log.where("message_id % 3 = 0")).write.parquet(twice)
-    stream = live.drop_repeats(live.read_files(spark, twice, log.schema))
+    stream = live.read_files(spark, twice, log.schema)
     path, checkpoint = scratch_path(spark, "o"), scratch_path(spark, "c")
-    finish(live.write_routed(live.gate(stream), path, checkpoint))
+    finish(live.write_routed(stream, path, checkpoint))
     want = tx.with_route(tx.with_gate(log))
     got = live.read_routed(spark, path).select(*want.columns)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
