@@ -127,7 +127,8 @@ def word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             kind = pa.struct([("d", pa.int64()), ("r", pa.int64()), ("l", pa.int32())])
             yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(sets, pa.binary())], names=["row", "set"])
 
-    lines = wanted.groupBy(F.col("id.r").alias("row")).agg(F.collect_set("id.l").alias("lines"))
+    # as a table its size is known, so a small one is broadcast and no text is shuffled
+    lines = materialize(wanted.groupBy(F.col("id.r").alias("row")).agg(F.collect_set("id.l").alias("lines")), "wanted")
     return docs.join(lines, "row").select("d", "row", "lines", utf8().alias("text")).mapInArrow(run, f"row {ID}, set binary")
 
 
