@@ -159,7 +159,7 @@ def links(docs: DataFrame, signed: DataFrame, plan: Plan) -> DataFrame:
     at = materialize(at.join(many, "key"), "bands")
     met = at.groupBy("row").agg(F.sum("members").alias("met"))
     at = materialize(at.join(met, "row").select("key", "row", "n", "met"), "bands")
-    needed = at.select("row").distinct()
+    needed = materialize(at.select("row").distinct(), "needed")  # as a table its size is known, so a small one is broadcast and no text is shuffled
     sets = materialize(shingle_sets(docs.join(needed, "row", "left_semi"), plan.words), "sets")
     first = at.groupBy("key").agg(F.max(F.struct("met", F.negative("row").alias("_o"), "n", "row")).alias("f")).select("key", F.col("f.row").alias("b"), F.col("f.n").alias("m"))
     near = F.least("n", "m") >= F.greatest("n", "m") * plan.similarity - 1e-9
