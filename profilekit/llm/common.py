@@ -58,9 +58,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches, each with about CHUNK_BYTES in the binary ``column`` (one row at least)."""
+    """Slices of the batches, each with about CHUNK_BYTES in the binary or string ``column`` (one row at least)."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends, at = np.cumsum(sizes), 0
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0

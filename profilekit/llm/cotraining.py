@@ -228,10 +228,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, plan: Plan = Plan()) -> DataFr
     model = fit(materialize(views(docs), "views"), labels, plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, sources, langs = (batch.column(c).to_pylist() for c in ("text", "source", "lang"))
+        for part in chunks(batches):
+            texts, sources, langs = (part.column(c).to_pylist() for c in ("text", "source", "lang"))
             texts = [(t or "").encode() for t in texts]
             _, _, c = model.scores([text_view(t).tobytes() for t in texts], [page_view(*x).tobytes() for x in zip(texts, sources, langs)])
-            yield batch.filter(pa.array(c >= model.keep_from, pa.bool_()))
+            yield part.filter(pa.array(c >= model.keep_from, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
