@@ -1,4 +1,4 @@
-"""Near duplicates by ProbMinHash signatures of weighted word shingles, banding and verification."""
+"""Near duplicates by ProbMinHash signatures of word shingles, banding and verification."""
 
 from __future__ import annotations
 
@@ -92,9 +92,10 @@ def sign(docs: DataFrame, plan: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             n = part.num_rows
-            of, hashes, weights = weighted_shingles(part.column("text").to_pylist(), plan.words)
+            # links compare sets, so every distinct shingle weighs the same here
+            of, hashes, _ = weighted_shingles(part.column("text").to_pylist(), plan.words)
             counts = np.bincount(of, minlength=n)
-            keys = band_keys(signatures(of, hashes, weights, n, plan.bands * plan.rows), plan.bands, plan.rows)
+            keys = band_keys(signatures(of, hashes, np.ones(len(hashes)), n, plan.bands * plan.rows), plan.bands, plan.rows)
             ends = np.cumsum(counts)
             digests = [hashlib.blake2b(hashes[e - c : e].tobytes(), digest_size=16).digest() for c, e in zip(counts, ends)]
             yield pa.RecordBatch.from_arrays(

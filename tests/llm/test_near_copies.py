@@ -90,6 +90,16 @@ def test_large_group_of_near_copies(docs_of):
     assert max(r.class_size for r in got) == 201
 
 
+def test_pairs_that_differ_by_a_repeated_block(docs_of):
+    """Sets that agree to 0.83, where one text holds a block of 40 words a hundred times."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(30):
+        base, block = text(rng, 204, 10**6), text(rng, 40, 10**6)
+        rows += [(2 * k, base), (2 * k + 1, " ".join([base, *[block] * 100]))]
+    check(rows, nc.near_copies(docs_of(rows)).collect())
+
+
 def test_edge_rows(docs_of):
     long = "word " * 40_000
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, "one two"), (7, long), (8, long + "word"), (None, "one"), (9, "a b c d e"), (10, "a  b\nc d E"), (4, "one"), (11, "two one")]
