@@ -40,6 +40,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         conf.set(key, before)
 
 
+def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
+    """``docs`` with a number for each row, written once: ids by partition change when a later scan splits the files in another way."""
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def utf8(column: str = "text") -> Column:
     """The text's bytes; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

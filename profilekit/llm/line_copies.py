@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, lower_joined, materialize, mix, utf8, word_hashes
+from .common import chunks, lower_joined, materialize, mix, numbered, utf8, word_hashes
 from .near_copies import verify
 
 
@@ -139,9 +139,9 @@ def _may_match(similarity: float, n: Column, place: Column, bits: Column, m: Col
     return lengths & places & (F.bit_count(bits.bitwiseXOR(other_bits)) <= n + m - 2 * shared)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def ordered(docs: DataFrame) -> DataFrame:
     """``row``, ``d`` (doc_id, the largest number for null) and text."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), "text")
+    return docs.select("row", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), "text")
 
 
 def line_matches(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -151,12 +151,16 @@ def line_matches(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     last), rows that repeat a doc_id in the order of the table, then of lines. A line has a match exactly if some earlier
     line's set of words has a Jaccard similarity of 0.8 or more with its own; equal sets match the first of
     them. Blank lines, and null or empty texts, have no rows. ``docs`` (doc_id, text; other columns are
-    ignored) is a table that reads alike twice. An empty table gives an empty one.
+    ignored) may be empty, which gives an empty table.
 
     Equal sets are one class with one representative, compared once. In every word's group a line is compared
     with the group's first; only lines without a match by then are compared with the others, so copies of one line cost about one comparison each.
     """
-    docs = numbered(docs)
+    return _matches(ordered(numbered(docs.select("doc_id", "text"))), plan)
+
+
+def _matches(docs: DataFrame, plan: Plan) -> DataFrame:
+    """``line_matches`` of a written table (row, d, text)."""
     lines = materialize(signed_lines(docs, plan), "lines")
     classes = lines.groupBy("x1", "x2").agg(F.min("id").alias("first"))
     reps = materialize(lines.groupBy("x1", "x2").agg(F.min_by(F.struct("id", "n", "bits", "words", "places"), "id").alias("s")).select("s.*").where(F.size("words") > 0), "representatives")
@@ -206,10 +210,11 @@ def drop_matches(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     ``n_chars``, where the table has it, follows the new text. A document that loses all its lines with words goes;
     documents that had none stay as they are.
     """
-    matches = line_matches(docs, plan)
+    own = numbered(docs, "_row")
+    matches = _matches(ordered(own.select(F.col("_row").alias("row"), "doc_id", "text")), plan)
     by_row = matches.groupBy(F.col("id.r").alias("_row")).agg(F.collect_list(F.when(F.col("match").isNotNull(), F.col("id.l"))).alias("_gone"), F.count("*").alias("_lines"))
     lost = by_row.where(F.size("_gone") > 0)
-    joined = docs.withColumn("_row", F.monotonically_increasing_id()).join(lost, "_row", "left").where("_gone is null or size(_gone) < _lines")
+    joined = own.join(lost, "_row", "left").where("_gone is null or size(_gone) < _lines")
     numbers = F.transform(F.split("text", "\n"), lambda x, k: F.struct(x.alias("x"), k.alias("k")))
     left = F.transform(F.filter(numbers, lambda s: ~F.array_contains(F.col("_gone"), s["k"])), lambda s: s["x"])
     out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", left)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered
 
 
 #: Words in a block; the unit of the quotas.
@@ -57,7 +57,7 @@ def quotas(parts: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def select(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS,
-           block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+           block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, number: str | None = None) -> DataFrame:
     """One row per document: row, doc_id, size, source_size, target, passes (times it is taken whole), blocks
     (further blocks taken of it), extra (their words).
 
@@ -65,10 +65,10 @@ def select(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tup
     of its own. Repeated rows count each; other columns are ignored. Documents are dealt into shards by a seeded hash of
     doc_id and size, so a large source lies in all shards. In each shard a source's quota of blocks is met by whole passes over its
     documents and, for the rest, by blocks in a seeded order, each taken once at most, so no
-    document gives more than ``most`` times its words. An empty table gives an empty one.
+    document gives more than ``most`` times its words. ``row`` is the column ``number``, or counts the rows. An empty table gives an empty one.
     """
     counted = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"),
+        (F.col(number) if number else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
     )
     sizes = materialize(counted, "sizes")
@@ -108,10 +108,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, **options) -> DataFrame:
     """What the mix takes, with all columns of ``docs``: a row for each whole pass over a document, and one with the
-    text of its further blocks. ``n_chars``, where the table has it, follows the text. ``docs`` is a table that reads alike twice."""
-    chosen = select(docs, block_words=block_words, **options).where("size > 0").select(F.col("row").alias("_row"), F.col("passes").alias("_passes"), F.col("blocks").alias("_blocks"))
+    text of its further blocks. ``n_chars``, where the table has it, follows the text."""
+    own = numbered(docs, "_row")
+    chosen = select(own, number="_row", block_words=block_words, **options).where("size > 0").select(F.col("row").alias("_row"), F.col("passes").alias("_passes"), F.col("blocks").alias("_blocks"))
     copies = F.sequence(F.when(F.col("_blocks").isNull(), 1).otherwise(0), F.col("_passes"))
-    taken = docs.withColumn("_row", F.monotonically_increasing_id()).join(chosen, "_row").where("_passes > 0 or _blocks is not null").withColumn("_copy", F.explode(copies))
+    taken = own.join(chosen, "_row").where("_passes > 0 or _blocks is not null").withColumn("_copy", F.explode(copies))
     words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), 0)
     parts = F.transform("_blocks", lambda b: F.array_join(F.slice(words, b * block_words + 1, block_words), ""))
     out = taken.withColumn("text", F.when(F.col("_copy") == 0, F.array_join(parts, "")).otherwise(F.col("text")))

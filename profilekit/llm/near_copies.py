@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, lower_joined, materialize, mix, shingles, utf8, word_hashes
+from .common import chunks, lower_joined, materialize, mix, numbered, shingles, utf8, word_hashes
 from .graph import components
 
 
@@ -188,10 +188,14 @@ def near_copies(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     Two documents are linked when their sets of runs of five words (lower case, white space ``[\\x20\\x09-\\x0D]``) have a Jaccard similarity of
     0.8 or more; a class is all that is connected. class_id is the class's smallest doc_id (null last), and
     the row with it stays (of rows that repeat it, the first). Texts with fewer words are one run;
-    null, empty and blank texts have none and are classes of their own. Other columns are ignored. ``docs`` is
-    a table that reads alike twice; ``row`` numbers its rows. An empty table gives an empty one.
+    null, empty and blank texts have none and are classes of their own. Other columns are ignored. ``row`` numbers
+    the rows. An empty table gives an empty one.
     """
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return _classes(numbered(docs.select("doc_id", "text")), plan)
+
+
+def _classes(docs: DataFrame, plan: Plan) -> DataFrame:
+    """``near_copies`` of a written table (row, doc_id, text)."""
     signed = materialize(sign(docs, plan), "signed")
     joined = components(links(docs, signed, plan)).select(F.col("node").alias("rep"), "root")
     reps = signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"))
@@ -209,5 +213,6 @@ def _by_id() -> Column:
 
 def keep_one(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """One document of each class, with all its columns."""
-    kept = near_copies(docs, plan).where("kept").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").select(*docs.columns)
+    own = numbered(docs, "_row")
+    kept = _classes(own.select(F.col("_row").alias("row"), "doc_id", "text"), plan).where("kept").select(F.col("row").alias("_row"))
+    return own.join(kept, "_row", "left_semi").select(*docs.columns)
