@@ -35,7 +35,7 @@ def test_scans_may_be_split_anew(spark, docs, monkeypatch, run):
     def split_anew(df, name):
         out = write(df, name)
         calls.append(name)
-        spark.conf.set(SPLIT, "300" if len(calls) % 2 else "128m")
+        spark.conf.set(SPLIT, "4000")
         return out
 
     monkeypatch.setattr(session, "materialize", split_anew)
