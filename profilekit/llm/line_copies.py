@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import chunks, lower_joined, materialize, mix, numbered, utf8, word_hashes
+from .graph import components
 from .near_copies import verify
 
 
@@ -145,24 +146,43 @@ def ordered(docs: DataFrame) -> DataFrame:
 
 
 def line_matches(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """One row per line with words: id (doc number, row, line from 0), match (the id of an earlier line, or null), similarity.
+    """One row per line with words: id (doc number, row, line from 0), match (the id of an earlier line, or null), similarity,
+    class (the first line of all that are connected), links (how many other lines match it, earlier or later).
 
     Lines are what ``\\n`` parts; words are lower-cased runs without ``[\\x20\\x09-\\x0D]``. Lines come in the order of doc_id (null
     last), rows that repeat a doc_id in the order of the table, then of lines. A line has a match exactly if some earlier
-    line's set of words has a Jaccard similarity of 0.8 or more with its own; equal sets match the first of
-    them. Blank lines, and null or empty texts, have no rows. ``docs`` (doc_id, text; other columns are
+    line's set of words has a Jaccard similarity of 0.8 or more with its own, and is then given the earliest of them; equal
+    sets match the first of them. Blank lines, and null or empty texts, have no rows. ``docs`` (doc_id, text; other columns are
     ignored) may be empty, which gives an empty table.
 
-    Equal sets are one class with one representative, compared once. In every word's group a line is compared
-    with the group's first; only lines without a match by then are compared with the others, so copies of one line cost about one comparison each.
+    Equal sets are one representative, compared once; all pairs of representatives that match are found.
     """
-    return _matches(ordered(numbered(docs.select("doc_id", "text"))), plan)
+    lines, pairs = _linked(ordered(numbered(docs.select("doc_id", "text"))), plan, whole=True)
+    sizes = materialize(lines.groupBy("x1", "x2").agg(F.min("id").alias("first"), F.count("*").alias("size")), "sizes")
+    both = pairs.select(F.col("a").alias("first"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("first"), F.col("a").alias("other")))
+    links = both.join(sizes.select(F.col("first").alias("other"), "size"), "other").groupBy("first").agg(F.sum("size").alias("others"))
+    found = _earliest(lines, pairs).join(links, "first", "left").join(components(pairs).select(F.col("node").alias("first"), "root"), "first", "left")
+    found = found.join(sizes.select("first", "size"), "first")
+    return found.select("id", "match", "similarity", F.coalesce("root", "first").alias("class"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
 
 
-def _matches(docs: DataFrame, plan: Plan) -> DataFrame:
-    """``line_matches`` of a written table (row, d, text)."""
-    lines = materialize(signed_lines(docs, plan), "lines")
+def _earliest(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """first (of the lines with an equal set), id, match, similarity."""
     classes = lines.groupBy("x1", "x2").agg(F.min("id").alias("first"))
+    match = pairs.groupBy(F.col("a").alias("first")).agg(F.min(F.struct("b", "similarity")).alias("m"))
+    placed = lines.select("id", "x1", "x2").join(classes, ["x1", "x2"]).join(match, "first", "left")
+    same = F.col("id") != F.col("first")
+    return placed.select("first", "id", F.when(same, F.col("first")).otherwise(F.col("m.b")).alias("match"), F.when(same, F.lit(1.0)).otherwise(F.col("m.similarity")).alias("similarity"))
+
+
+def _linked(docs: DataFrame, plan: Plan, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """The lines of a written table (row, d, text), and a, b, similarity of representatives of equal sets that match, b before a.
+
+    In every word's group a line is compared with the group's first, then with the others. Unless ``whole``, only
+    lines without a match by then are compared with the others: that decides which lines have an earlier match, at about one
+    comparison for each of many near copies, but does not find all pairs.
+    """
+    lines = materialize(signed_lines(docs, plan), "lines")
     reps = materialize(lines.groupBy("x1", "x2").agg(F.min_by(F.struct("id", "n", "bits", "words", "places"), "id").alias("s")).select("s.*").where(F.size("words") > 0), "representatives")
     entries = reps.select("id", "n", "bits", F.explode(F.arrays_zip("words", "places")).alias("e")).select("id", "n", "bits", F.col("e.words").alias("word"), F.col("e.places").alias("place"))
     group = W.partitionBy("word").orderBy("id")
@@ -181,7 +201,7 @@ def _matches(docs: DataFrame, plan: Plan) -> DataFrame:
         return materialize(verify(pairs, materialize(word_sets(docs, wanted), "sets"), plan.similarity), "matches")
 
     first = verified(pairs)
-    found = first.select(F.col("a").alias("id")).distinct()
+    found = first.select(F.col("a").alias("id")).distinct().where(F.lit(not whole))
     test = _may_match(plan.similarity, F.col("n"), F.col("place"), F.col("bits"), F.col("m"), F.col("q"), F.col("c"))
     rest = []
     for part in ranked:
@@ -189,18 +209,16 @@ def _matches(docs: DataFrame, plan: Plan) -> DataFrame:
         other = part.select("word", F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("bits").alias("c"))
         rest.append(materialize(asking.join(other, "word").where((F.col("b") < F.col("id")) & test).select(F.col("id").alias("a"), "b").distinct(), "pairs"))
     rest = verified(materialize(reduce(DataFrame.unionByName, rest).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs"))
-    match = first.unionByName(rest).groupBy(F.col("a").alias("first")).agg(F.min(F.struct("b", "similarity")).alias("m"))
-    placed = lines.select("id", "x1", "x2").join(classes, ["x1", "x2"]).join(match, "first", "left")
-    same = F.col("id") != F.col("first")
-    return placed.select("id", F.when(same, F.col("first")).otherwise(F.col("m.b")).alias("match"), F.when(same, F.lit(1.0)).otherwise(F.col("m.similarity")).alias("similarity"))
+    return lines, first.unionByName(rest)
 
 
 def report(matches: DataFrame) -> DataFrame:
-    """doc_id, line, kept, match_doc_id, match_line, similarity."""
+    """doc_id, line, kept, match_doc_id, match_line, similarity, class_doc_id, class_line, links."""
     number = lambda c: F.when(F.col(f"{c}.d") < (1 << 63) - 1, F.col(f"{c}.d"))
     return matches.select(
         number("id").alias("doc_id"), F.col("id.l").alias("line"), F.col("match").isNull().alias("kept"),
         number("match").alias("match_doc_id"), F.col("match.l").alias("match_line"), "similarity",
+        number("class").alias("class_doc_id"), F.col("class.l").alias("class_line"), "links",
     )
 
 
@@ -211,7 +229,7 @@ def drop_matches(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     documents that had none stay as they are.
     """
     own = numbered(docs, "_row")
-    matches = _matches(ordered(own.select(F.col("_row").alias("row"), "doc_id", "text")), plan)
+    matches = _earliest(*_linked(ordered(own.select(F.col("_row").alias("row"), "doc_id", "text")), plan, whole=False))
     by_row = matches.groupBy(F.col("id.r").alias("_row")).agg(F.collect_list(F.when(F.col("match").isNotNull(), F.col("id.l"))).alias("_gone"), F.count("*").alias("_lines"))
     lost = by_row.where(F.size("_gone") > 0)
     joined = own.join(lost, "_row", "left").where("_gone is null or size(_gone) < _lines")

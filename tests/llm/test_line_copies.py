@@ -76,6 +76,31 @@ def test_common_line_and_group_of_near_copies(docs_of):
     assert sorted(got(docs_of(rows))) == sorted(brute(rows))
 
 
+def test_all_links_of_near_copies(docs_of):
+    """Every line's earliest match, number of links and class, by brute force."""
+    rng = random.Random(5)
+    base = [[f"v{g}_{k}" for k in range(20)] for g in range(4)]
+    rows = []
+    for k in range(60):
+        x = list(base[k % 4])
+        for _ in range(rng.randrange(4)):
+            x[rng.randrange(20)] = f"u{rng.randrange(30)}"
+        rows.append((k, " ".join(x)))
+    rows += [(100 + k, rows[k][1]) for k in range(5)]
+    sets = [words(t) for _, t in rows]
+    near = [[j for j in range(len(rows)) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-12] for i in range(len(rows))]
+    root = list(range(len(rows)))
+    while (new := [min([root[i], *(root[j] for j in near[i])]) for i in range(len(rows))]) != root:
+        root = new
+    report = {r.doc_id: r for r in lc.report(lc.line_matches(docs_of(rows))).collect()}
+    assert len(report) == len(rows) and max(map(len, near)) > 5
+    for i, (d, _) in enumerate(rows):
+        assert report[d].links == len(near[i]) and report[d].class_doc_id == rows[root[i]][0]
+        equal = [j for j in near[i] if j < i and sets[j] == sets[i]]
+        earlier = [j for j in near[i] if j < i]
+        assert report[d].match_doc_id == (rows[equal[0]][0] if equal else rows[earlier[0]][0] if earlier else None)
+
+
 def test_drop_matches(docs_of):
     docs = docs_of([(1, "alpha beta\nkeep me"), (2, "alpha beta\n\nother thing"), (3, "beta alpha"), (4, None), (5, "\n"), (6, "last")])
     out = lc.drop_matches(docs)
