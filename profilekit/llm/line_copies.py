@@ -190,8 +190,8 @@ def _linked(docs: DataFrame, plan: Plan, whole: bool) -> tuple[DataFrame, DataFr
     tops = {f"f_{c}": F.first(c).over(group.rowsBetween(W.unboundedPreceding, 0)) for c in ("id", "n", "place", "bits")}
     entries = entries.withColumns({"rank": F.row_number().over(group), "last": F.lead("id").over(group).isNull(), **tops}).where("rank > 1")
     test = _may_match(plan.similarity, F.col("n"), F.col("place"), F.col("bits"), F.col("f_n"), F.col("f_place"), F.col("f_bits"))
-    # of a word in two lines only, nothing is left but the pair
-    entries = entries.withColumn("f", F.when(test, F.col("f_id"))).where("f is not null or rank > 2 or not last").select("word", "id", "n", "place", "bits", "rank", "f")
+    # of a word in two lines only, nothing is left but the pair; words that agree in the bits joined on can bring a line together with itself
+    entries = entries.withColumn("f", F.when(test & (F.col("f_id") != F.col("id")), F.col("f_id"))).where("f is not null or rank > 2 or not last").select("word", "id", "n", "place", "bits", "rank", "f")
     turn = F.pmod("word", F.lit(plan.slices))
     ranked = [materialize(entries.where(turn == k), "entries") for k in range(plan.slices)]
     pairs = materialize(reduce(DataFrame.unionByName, [r.where("f is not null").select(F.col("id").alias("a"), F.col("f").alias("b")) for r in ranked]).distinct(), "pairs")

@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from profilekit.llm import line_copies as lc
-from profilekit.llm.common import read
+from profilekit.llm.common import read, word_hashes
 
 LAST = (1 << 63) - 1
 
@@ -101,6 +102,18 @@ def test_all_links_of_near_copies(docs_of):
         assert report[d].match_doc_id == (rows[equal[0]][0] if equal else rows[earlier[0]][0] if earlier else None)
 
 
+def test_words_that_agree_in_the_joined_bits(docs_of):
+    """A line whose words collide is not a copy of itself."""
+    many = [f"w{k}" for k in range(300_000)]
+    _, hashes = word_hashes(np.frombuffer(" ".join(many).encode(), np.uint8))
+    order = np.argsort(hashes)
+    k = np.flatnonzero(np.diff(hashes[order] >> np.uint64(32)) == 0)[0]
+    a, b = many[order[k]], many[order[k + 1]]
+    common = [f"c{j}" for j in range(8)]
+    rows = [(1, " ".join([a, b, *common])), (2, f"{a} y"), (3, f"{b} z")] + [(10 * j + i, f"{c} x{i}{j}") for i in range(4) for j, c in enumerate(common, 1)]
+    assert sorted(got(docs_of(rows))) == sorted(brute(rows))
+
+
 def test_drop_matches(docs_of):
     docs = docs_of([(1, "alpha beta\nkeep me"), (2, "alpha beta\n\nother thing"), (3, "beta alpha"), (4, None), (5, "\n"), (6, "last")])
     out = lc.drop_matches(docs)
