@@ -35,14 +35,14 @@ class Encoder:
     merge crosses a cut; likewise around a single line break. A text is therefore cut there, each distinct piece is encoded once by the
     library, and the ids of all texts are gathered from their pieces; pieces are told apart by a
     64-bit hash. A text in which white space is doubled, begins or ends is encoded whole by the
-    library. The ids of an empty text are none. ``end_id`` is appended to each text.
+    library, and so is one that holds an added token, which no cut may part. The ids of an empty text are none. ``end_id`` is appended to each text.
     """
 
     def __init__(self, path: str, end_id: int | None = 0, memory: int = MEMORY_PIECES):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         # byte-level vocabularies write one letter for each byte
         self.bytes_of = np.zeros(self.library.get_vocab_size() + 1, np.int64)
         for token, i in self.library.get_vocab().items():
@@ -103,6 +103,8 @@ class Encoder:
         lengths = np.array([len(t) for t in texts], np.int64)
         begins = 1 + np.cumsum(lengths + 1) - (lengths + 1)
         uneven = self._uneven(data, begins, texts) | (lengths == 0)
+        if any(a in whole for a in self.added):
+            uneven |= np.array([any(a in t for a in self.added) for t in texts])
         # pieces lie between spaces, line breaks or separators; a piece's hash covers what stands before it
         cuts = np.flatnonzero(_CUT[data])
         first = data[cuts[:-1]]

@@ -33,6 +33,17 @@ def test_encoder_equals_library(memory):
         assert ids[a:b].tolist() == plain(t), t
 
 
+def test_added_tokens_are_one_id():
+    """As a fresh library object has it, with the file as given."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(PATH)
+    texts = ["<|endoftext|>", "a b<|endoftext|>c d", "a <|endoftext|> b", "plain words here", "<|endoftext| >"]
+    ids, _ = tokens.Encoder(PATH).encode([t.encode() for t in texts])
+    assert ids.tolist() == [i for t in texts for i in [*fresh.encode(t, add_special_tokens=False).ids, 0]]
+    assert fresh.token_to_id("<|endoftext|>") in ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab'sé .\n\t7!　", max_size=12), max_size=6))
 def test_encoder_on_any_text(texts):
