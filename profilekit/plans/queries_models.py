@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,6 @@ def zscores(spark, sf):
     return segments.zscores(role(spark, sf, "r_customers"), Z)
 
 
-# fewer restarts than the library default keep the whole check run short
-RESTARTS, SWEEP_RESTARTS = 3, 1
 RULES = [
     segments.NameRule("Explorador", "txn_pct_atipico"),
     segments.NameRule("Inversionista", "intent_inversion"),
@@ -49,13 +49,13 @@ def written_master(spark, sf) -> DataFrame:
 @query("kmeans_sweep")
 def kmeans_sweep(spark, sf):
     df = written_master(spark, sf)
-    return segments.kmeans_sweep(segments.Standardizer.fit(df).vectors(df), restarts=SWEEP_RESTARTS)
+    return segments.kmeans_sweep(segments.Standardizer.fit(df).vectors(df))
 
 
 @query("kmeans_segments")
 def kmeans_segments(spark, sf):
     df = written_master(spark, sf)
-    fitted = segments.Segmentation.fit(df, RULES, restarts=RESTARTS)
+    fitted = segments.Segmentation.fit(df, RULES)
     return fitted.transform(df).select("user_id", "segmento_id", "segmento_nombre")
 
 
@@ -197,44 +197,62 @@ def target_eligibility(spark, sf):
 
 # --- H propensity ------------------------------------------------------------------------------------
 
-# few rounds and folds here; the library defaults are the full ones
-QUICK = propensity.TreeParams(rounds=4, folds=2)
-MODELLED = {"tiene_tipo_1": "Tipo 1"}
+# every product type; training leaves out those that are not eligible
+MODELLED = {f"tiene_{t}": t for t in TYPES}
+
+
+def eligible(df: DataFrame) -> list[str]:
+    """The targets that training keeps, in the order of ``MODELLED``."""
+    kept = {r["col_target"] for r in propensity.target_eligibility(df, list(MODELLED)).where("elegible").collect()}
+    return [t for t in MODELLED if t in kept]
+
+
+def per_target(frame: DataFrame, targets: list[str], run, schema: str) -> DataFrame:
+    """``run(target)`` for all targets, under each other, with their names."""
+    none = frame.sparkSession.createDataFrame([], f"col_target string, {schema}")
+    return reduce(DataFrame.unionByName, [run(t).withColumn("col_target", F.lit(t)) for t in targets] or [none])
 
 
 @query("propensity_train")
 def propensity_train(spark, sf):
-    trained = propensity.train_propensity(written_master(spark, sf), MODELLED, params=QUICK)
+    trained = propensity.train_propensity(written_master(spark, sf), MODELLED)
     return trained.metrics.select("producto", "col_target", F.explode("top_features").alias("variable"))
 
 
 @query("propensity_metrics")
 def propensity_metrics(spark, sf):
-    trained = propensity.train_propensity(written_master(spark, sf), MODELLED, params=QUICK)
+    trained = propensity.train_propensity(written_master(spark, sf), MODELLED)
     return trained.metrics.drop("top_features")
 
 
 @query("cv_auc")
 def cv_auc(spark, sf):
-    frame, _ = propensity.training_frame(written_master(spark, sf), list(MODELLED))
-    return propensity.cv_auc(frame, "tiene_tipo_1", QUICK)
+    df = written_master(spark, sf)
+    targets = eligible(df)
+    frame, _ = propensity.training_frame(df, targets)
+    return per_target(df, targets, lambda t: propensity.cv_auc(frame, t), "fold int, auc double")
 
 
 @query("calibrated_scores")
 def calibrated_scores(spark, sf):
-    frame, _ = propensity.training_frame(written_master(spark, sf), list(MODELLED))
-    fitted = propensity.CalibratedEnsemble.fit(frame, "tiene_tipo_1", QUICK)
-    return fitted.transform(frame).select("user_id", "tiene_tipo_1", "score")
+    df = written_master(spark, sf)
+    targets = eligible(df)
+    frame, _ = propensity.training_frame(df, targets)
+
+    def scored(t: str) -> DataFrame:
+        return propensity.CalibratedEnsemble.fit(frame, t).transform(frame).select("user_id", F.col(t).alias("tiene"), "score")
+
+    return per_target(df, targets, scored, "user_id string, tiene int, score double")
 
 
 @query("propensity_scores")
 def propensity_scores(spark, sf):
     df = written_master(spark, sf)
-    trained = propensity.train_propensity(df, MODELLED, params=QUICK)
-    scored = propensity.score_propensity(df, trained).join(df.select("user_id", "tiene_tipo_1"), "user_id")
-    return scored.withColumn(
-        "prop_tipo_1", profiles.mask_owned(F.col("prop_tipo_1"), F.col("tiene_tipo_1"))
-    )
+    trained = propensity.train_propensity(df, MODELLED)
+    owned = list(trained.ensembles)
+    scored = propensity.score_propensity(df, trained).join(df.select("user_id", *owned), "user_id")
+    props = {f"prop_{t.removeprefix('tiene_')}": t for t in owned}
+    return scored.withColumns({p: profiles.mask_owned(F.col(p), F.col(t)) for p, t in props.items()})
 
 
 # --- I vectors -----------------------------------------------------------------------------------------

@@ -178,3 +178,32 @@ def test_calibration_is_monotone_per_member(people):
     for _, iso in ensemble.members:
         values = list(iso.predictions)
         assert values == sorted(values) and 0 <= values[0] and values[-1] <= 1
+
+
+def test_registered_learners_do_the_whole_job(monkeypatch):
+    """The queries pass no fewer rounds, folds, restarts or targets than the library's defaults."""
+    from profilekit.operators import segments
+    from profilekit.plans import queries_models as qm
+
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def caught(name):
+        def run(*args, **options):
+            seen[name] = (args, options)
+            raise Stop
+
+        return run
+
+    monkeypatch.setattr(qm, "written_master", lambda *_: None)
+    monkeypatch.setattr(propensity, "train_propensity", caught("train"))
+    monkeypatch.setattr(segments, "kmeans_sweep", caught("sweep"))
+    monkeypatch.setattr(segments.Segmentation, "fit", caught("segments"))
+    monkeypatch.setattr(segments.Standardizer, "fit", lambda df: type("S", (), {"vectors": lambda self, df: None})())
+    for run, name in ((qm.propensity_train, "train"), (qm.propensity_metrics, "train"), (qm.propensity_scores, "train"), (qm.kmeans_sweep, "sweep"), (qm.kmeans_segments, "segments")):
+        with pytest.raises(Stop):
+            run(None, None)
+        assert seen[name][1] == {}
+    assert list(seen["train"][0][1]) == [f"tiene_{t}" for t in qm.TYPES] and len(seen["train"][0]) == 2
