@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_copies as copies
-from . import cotraining, line_copies, mixing, near_copies, neighbours, packed_ids, packing, passages, personal_data
+from . import cotraining, line_copies, mixing, near_copies, neighbours, online_packing, packed_ids, packing, passages, personal_data
 from .common import read
 from .tokens import tokenizer_file
 
@@ -82,3 +82,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_repeated_passages")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return passages.repeated_passages(read(spark, sf, "documents"))
+
+
+@query("op13_online_packing")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return online_packing.digest(online_packing.pack_online(read(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json")))
