@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_copies as copies
-from . import cotraining, line_copies, mixing, near_copies, neighbours, online_packing, packed_ids, packing, passages, personal_data
+from . import cotraining, line_copies, mixing, near_copies, neighbours, online_packing, packed_ids, packing, passages, personal_data, vector_codes
 from .common import read
 from .tokens import tokenizer_file
 
@@ -87,3 +87,38 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_online_packing")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return online_packing.digest(online_packing.pack_online(read(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json")))
+
+
+def _assigned(parts: str, books: str) -> str:
+    """Every part's nearest entry by all distances (the lower index on ties) and its squared distance."""
+    return f"""select vec_id, label, p, min(d) as d, arg_min(e, d * 64 + e) as e, any_value(x) as x from (
+      select q.vec_id, q.label, q.p, q.x, b.e, list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(q.x, b.x)])::bigint as d
+      from {parts} q join {books} b using (p)) group by vec_id, label, p"""
+
+
+def _improved(assigned: str, books: str) -> str:
+    return f"""select b.p, b.e, coalesce(m.x, b.x) as x from {books} b left join (
+      select p, e, list(v order by i) as x from (
+        select p, e, i, floor(sum(v)::double / count(*))::bigint as v from (select p, e, unnest(x) as v, generate_subscripts(x, 1) as i from {assigned}) group by p, e, i)
+      group by p, e) m on m.p = b.p and m.e = b.e"""
+
+
+@query(
+    "op12_vector_codes",
+    f"""
+    with kept as materialized (select vec_id, label, [floor(256 * x::double)::bigint for x in embedding] as v, row_number() over (order by vec_id) - 1 as rn
+      from embeddings where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+    parts as materialized (select vec_id, label, rn, p, list_slice(v, p * (len(v) // 16) + 1, (p + 1) * (len(v) // 16)) as x from kept, (select unnest(range(16)) as p)),
+    b0 as materialized (select p, rn as e, x from parts where rn < 64),
+    a0 as materialized ({_assigned('parts', 'b0')}),
+    b1 as materialized ({_improved('a0', 'b0')}),
+    a1 as materialized ({_assigned('parts', 'b1')}),
+    b2 as materialized ({_improved('a1', 'b1')}),
+    a2 as materialized ({_assigned('parts', 'b2')}),
+    sha as (select sha256(string_agg(v::varchar, ',' order by p, e, i)) as s from (select p, e, unnest(x) as v, generate_subscripts(x, 1) as i from b2)),
+    coded as (select vec_id, label, string_agg(printf('%02x', e::bigint), '' order by p) as code, sum(d)::bigint as error from a2 group by vec_id, label)
+    select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, s as codebooks_sha256 from coded, sha
+    """,
+)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.report(read(spark, sf, "embeddings"))
