@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_copies as copies
-from . import cotraining, line_copies, mixing, near_copies, neighbours, online_packing, packed_ids, packing, passages, personal_data, vector_codes
+from . import cotraining, line_copies, mixing, near_copies, neighbours, online_packing, packed_ids, packing, passages, periodic_runs, personal_data, vector_codes
 from .common import read
 from .tokens import tokenizer_file
 
@@ -122,3 +122,34 @@ def _improved(assigned: str, books: str) -> str:
 )
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return vector_codes.report(read(spark, sf, "embeddings"))
+
+
+@query(
+    "op11_periodic_runs",
+    r"""
+    with recursive d as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+    c(r, s, k, x) as (
+      select r, doc_id::varchar, 0::bigint, 4294967295::bigint from d
+      union all
+      select r, s, k + 1, xor((y // 2)::bigint, (case when y % 2 = 1 then 3988292384 else 0 end)::bigint)
+      from (select r, s, k, case when k % 8 = 0 then xor(x, ascii(s[k // 8 + 1])::bigint) else x end as y from c where k < 8 * length(s))),
+    h as materialized (select r, xor(x, 4294967295::bigint) as h from c where k = 8 * length(s)),
+    w as materialized (select r, doc_id, [x for x in string_split_regex(text, '[ \t\n\x0b\x0c\r]+') if x <> ''] as w from d),
+    v as materialized (select r, doc_id, w, len(w) as n, h % 10 = 0 and len(w) > 0 as planted, (h // 10) % greatest(len(w), 1) as a, h // 10 as g from w join h using (r)),
+    p as materialized (select *, 1 + (n - a) // (3 + g % 8) as p from v),
+    t as materialized (select r, n, unnest(range(n)) as i, unnest(w) as own, w, planted, a, p from p),
+    t2 as materialized (select r, n, i, case when planted and i >= a then w[a + (i - a) % p + 1] else own end as x from t),
+    e as materialized (select a.r, a.i, b.i - a.i as q from t2 a join t2 b on a.r = b.r and a.x = b.x and b.i > a.i and 4 * (b.i - a.i) <= a.n),
+    g as (select r, q, min(i) as s, count(*) + q as l from (select *, i - row_number() over (partition by r, q order by i) as island from e) group by r, q, island),
+    runs as materialized (select r, s, l, min(q) as q from g where l >= greatest(6, 4 * q) group by r, s, l),
+    per as (select r, count(*) as n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as lines,
+      first(s order by l::double / q desc, s, q) as start, first(l order by l::double / q desc, s, q) as length, first(q order by l::double / q desc, s, q) as period from runs group by r),
+    gone as (select distinct r, unnest(range(s + q, s + l)) as i from runs),
+    kept as (select r, string_agg(x, ' ' order by i) as k from t2 anti join gone using (r, i) group by r)
+    select doc_id, coalesce(n_runs, 0)::bigint as n_runs, start::bigint as start, length::bigint as length, period::bigint as period,
+      (1000 * length // period)::bigint as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(k, '')) as collapsed_sha256
+    from d left join per using (r) left join kept using (r)
+    """,
+)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find(periodic_runs.with_planted(read(spark, sf, "documents"))))
