@@ -17,33 +17,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, utf8, word_hashes
+from .common import SPACES, chunks, spans, utf8, word_hashes
 
 CAPACITY = 4096
 END_ID = 2
 #: Ids that a task holds in open windows at most; beyond that all of them are settled and the levels start anew.
 HELD_IDS = 1 << 22
 #: Distinct words remembered in a worker at most; the memory is emptied beyond that.
-MEMORY_WORDS = 1 << 20
+MEMORY_WORDS = 1 << 21
 
 #: A piece: document, its place among the document's ids, the ids, and how many the document has.
 Piece = tuple[object, int, np.ndarray, int]
 
+#: Bytes by kind: 0 white space, 1 ASCII letters, 2 other ASCII, 3 the rest.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[:128] = [0 if b in SPACES else 1 if chr(b).isalpha() else 2 for b in range(128)]
+
 PACKED = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class WordEncoder:
     """Ids of whole texts, equal to the library's own, for tokenizers that drop white space and never join across it.
 
-    Each distinct word (a run without ASCII white space) is encoded once by the library; words are told apart by a
-    64-bit hash. An added token holds no white space, so it lies in one word and the library finds it there. ``end_id``
-    follows every text, an empty one too.
+    Each distinct word is encoded once by the library; words are told apart by a 64-bit hash. A word is a run without
+    ASCII white space, cut once more between an ASCII letter and another ASCII character after it, where such
+    tokenizers cut as well. An added token lies in one run without white space, which is then left whole. ``end_id`` follows every text, an empty
+    one too.
     """
 
     def __init__(self, path: str, end_id: int = END_ID, memory: int = MEMORY_WORDS):
         from tokenizers import Tokenizer
 
         self.library, self.end_id, self.memory = Tokenizer.from_file(path), end_id, memory
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        # the last token of a unit ends with the suffix of the vocabulary
+        suffix = self.library.model.end_of_word_suffix
+        self.closing = np.zeros(self.library.get_vocab_size() + 1, bool)
+        self.closing[[i for token, i in self.library.get_vocab().items() if suffix and token.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -56,19 +66,46 @@ class WordEncoder:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.flatnonzero(self.keys[at] != keys)
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        found = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Encodes the words: those of letters alone are one unit each, so they go in rows that are cut at the ends of units."""
+        found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+        texts = [w.decode() for w in words]
+        alone = [i for i, t in enumerate(texts) if not t.isalpha()]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        rows = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+        for row, x in zip(rows, self._library_ids([" ".join(texts[i] for i in row) for row in rows])):
+            ends = np.flatnonzero(self.closing[x]) + 1
+            if len(ends) == len(row):
+                for i, part in zip(row, np.split(x, ends[:-1])):
+                    found[i] = part
+            else:  # a letter whose lower case is no letter alone
+                alone += row
+        for i, x in zip(alone, self._library_ids([texts[i] for i in alone])):
+            found[i] = x
         at = np.searchsorted(self.keys, keys)
         self.slots = np.insert(self.slots, at, len(self.ends) - 1 + np.arange(len(keys)))
         self.keys = np.insert(self.keys, at, keys)
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])])
         self.ids = np.concatenate([self.ids, *found])
 
+    def _library_ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, the end id after each, and how many belong to each text."""
         lengths = np.array([len(t) + 1 for t in texts], np.int64)
         whole = b"\n".join([*texts, b""])
-        starts, hashes = word_hashes(np.frombuffer(whole, np.uint8))
+        data = np.frombuffer(whole, np.uint8)
+        kind = _KIND[data]
+        inside = kind > 0
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | ((kind[:-1] == 1) & (kind[1:] == 2))
+        closes = inside.copy()  # every text ends in a line break, so the last byte is none of a word
+        closes[:-1] &= ~inside[1:] | begins[1:]
+        starts, stops = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+        hashes = spans(data, starts, stops)
+        if any(a in whole for a in self.added):
+            starts, stops, hashes = self._with_added(whole, starts, stops, hashes)
         of = np.searchsorted(np.cumsum(lengths), starts, side="right")
         keys, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         new = self._unknown(keys)
@@ -76,7 +113,8 @@ class WordEncoder:
             self._forget()
             new = np.arange(len(keys))
         if len(new):
-            self._learn(keys[new], [whole[s:].split(None, 1)[0].decode() if s + 256 > len(whole) else _word(whole, s) for s in starts[example[new]].tolist()])
+            e = example[new]
+            self._learn(keys[new], [whole[a:b] for a, b in zip(starts[e].tolist(), stops[e].tolist())])
         slots = self.slots[np.searchsorted(self.keys, keys)][inverse]
         begin, n = self.ends[slots], self.ends[slots + 1] - self.ends[slots]
         # every word's ids, and after the words of a text its end id
@@ -88,12 +126,24 @@ class WordEncoder:
         out[within + np.repeat(of, n)] = self.ids[np.repeat(begin - (ends - n), n) + within]
         return out, counts
 
-
-def _word(whole: bytes, start: int) -> str:
-    size = 256
-    while len(parts := whole[start : start + size].split(None, 1)) < 2 and start + size < len(whole):
-        size *= 4
-    return parts[0].decode()
+    def _with_added(self, whole: bytes, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words cut at white space only, where one of them holds an added token."""
+        words, word_hash = word_hashes(np.frombuffer(whole, np.uint8))
+        ends = np.append(words[1:], len(whole))
+        kept = np.zeros(len(words), bool)
+        for a in self.added:
+            at = whole.find(a)
+            while at >= 0:
+                kept[np.searchsorted(words, at, side="right") - 1] = True
+                at = whole.find(a, at + 1)
+        outside = ~kept[np.searchsorted(words, starts, side="right") - 1]
+        long_ = [len(whole[a:b].split(None, 1)[0]) for a, b in zip(words[kept].tolist(), ends[kept].tolist())]
+        order = np.argsort(np.concatenate([starts[outside], words[kept]]), kind="stable")
+        return (
+            np.concatenate([starts[outside], words[kept]])[order],
+            np.concatenate([stops[outside], words[kept] + np.array(long_, np.int64)])[order],
+            np.concatenate([hashes[outside], word_hash[kept]])[order],
+        )
 
 
 @lru_cache(maxsize=2)

@@ -27,6 +27,7 @@ def library_ids(text):
 TEXTS = [
     "", None, " \n\t ", "One two  three", "Tab\tand\nline\r\nends", "it's we'll DON'T 12,345.67!!", "café café Ångström ẞ İ",
     "a b c\u0085d​e", "x" * 700 + " " + "y" * 5000, "<|endoftext|> mid<|startoftext|>dle <|endof text|>", "ΣΣ σΣ.", "日本語 text \U0001f600\U0001f600",
+    "rock'n'roll it's'll o''re a1b22c a-b_c d…,e é,f (g)h.", "İstanbul İ straße K ﬁ a<|endoftext|>b, c<|startoftext|>", "the, the. the! THE", "x'" * 400,
     "́ combining ̣́x", "end \x1c\x1d\x1e\x1f sep par ",
 ]
 
