@@ -41,16 +41,3 @@ def first_present(df: DataFrame, keys: Sequence[str], order: Sequence[Column], c
 def nulls_last(col: Column) -> list[Column]:
     return [col.isNull(), col]
 
-
-SMALL_PART, FULL_PART = 2_000, 50_000
-
-
-def settled(df: DataFrame, key: str) -> DataFrame:
-    """Rows placed and ordered by key, in a number of partitions that follows the number of rows.
-
-    Seeded learners sample by partition and position, so this makes their results repeat, also when a lost
-    partition is computed again; and they run many short jobs, which too many small partitions would slow.
-    """
-    rows, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, rows // FULL_PART, min(cores, rows // SMALL_PART))
-    return df.repartition(parts, key).sortWithinPartitions(key)

@@ -6,16 +6,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from .ranking import settled
+from ..session import materialize, temporary
+from . import kmeans
 
 
 @dataclass
@@ -65,35 +64,23 @@ def zscores(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ("user_
     return scaler.transform(df).select(*keep, *[f"z_{c}" for c in scaler.columns])
 
 
-def best_kmeans(
-    vectors: DataFrame, k: int = 6, restarts: int = 15, seed: int = 42, max_iter: int = 300, features: str = "features"
-) -> KMeansModel:
-    """The restart with the least training cost. ``vectors`` should be persisted by the caller."""
-    best = None
-    # stop when the centres together moved by less than 1e-4 (squared), on standardised features
-    tol = (1e-4 / k) ** 0.5
-    for i in range(restarts):
-        model = KMeans(
-            k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol=features, predictionCol="cluster"
-        ).fit(vectors)
-        if best is None or model.summary.trainingCost < best[0]:
-            best = (model.summary.trainingCost, model)
-    return best[1]
-
-
 def kmeans_sweep(
     vectors: DataFrame, ks: Sequence[int] = tuple(range(2, 8)), restarts: int = 10, seed: int = 42,
     max_iter: int = 300, key: str = "user_id",
 ) -> DataFrame:
-    """``k, cost, silhouette`` (squared Euclidean) per number of clusters."""
-    vectors = settled(vectors, key).persist(StorageLevel.MEMORY_AND_DISK)
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    rows = []
-    for k in ks:
-        model = best_kmeans(vectors, k, restarts, seed, max_iter)
-        rows.append((k, float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(vectors)))))
-    vectors.unpersist()
-    return vectors.sparkSession.createDataFrame(rows, "k int, cost double, silhouette double")
+    """``k, cost, silhouette`` (squared Euclidean) per number of clusters; all fits share their scans."""
+    spark = vectors.sparkSession
+    with temporary(spark):
+        plain = materialize(vectors.select(key, vector_to_array("features").alias("features")), "vectors")
+        best = kmeans.fit_all(plain, [(k, restarts) for k in ks], seed, max_iter, key)
+        evaluator = ClusteringEvaluator(featuresCol="v", predictionCol="cluster")
+        rows = []
+        for k, fit in best.items():
+            coordinates = [F.get("features", F.lit(i)) for i in range(fit.centres.shape[1])]
+            placed = plain.select(array_to_vector("features").alias("v"), kmeans.nearest(coordinates, fit.centres).cast("double").alias("cluster"))
+            several = placed.select("cluster").distinct().count() > 1
+            rows.append((k, fit.cost, float(evaluator.evaluate(placed)) if several else None))
+    return spark.createDataFrame(rows, "k int, cost double, silhouette double")
 
 
 @dataclass(frozen=True)
@@ -132,12 +119,12 @@ def named(column: Column, names: dict[int, str]) -> Column:
 
 @dataclass
 class Segmentation:
-    """Fitted scaler, cluster model, id order and names."""
+    """Fitted scaler, centres in the order of their ids, names and the cost of the fit."""
 
     scaler: Standardizer
-    model: KMeansModel
-    ids: dict[int, int]
+    centres: np.ndarray
     names: dict[int, str]
+    cost: float
 
     @classmethod
     def fit(
@@ -151,42 +138,33 @@ class Segmentation:
         max_iter: int = 300,
     ) -> "Segmentation":
         scaler = Standardizer.fit(master, columns)
-        vectors = settled(scaler.vectors(master), "user_id").persist(StorageLevel.MEMORY_AND_DISK)
-        model = best_kmeans(vectors, k, restarts, seed, max_iter)
-        sizes = {r["cluster"]: r["count"] for r in model.transform(vectors).groupBy("cluster").count().collect()}
-        vectors.unpersist()
-        centres = [np.asarray(c) for c in model.clusterCenters()]
+        vectors = scaler.vectors(master).select("user_id", vector_to_array("features").alias("features"))
+        best = kmeans.fit_all(vectors, [(k, restarts)], seed, max_iter)
+        if not best:
+            raise ValueError("there are no rows to segment")
+        fitted = cls(scaler, best[k].centres, {}, best[k].cost)
+        sizes = {r["segmento_id"]: r["count"] for r in fitted.transform(master).groupBy("segmento_id").count().collect()}
         # ids by falling size, ties by centroid, so that they do not depend on the seed
-        order = sorted(range(len(centres)), key=lambda c: (-sizes.get(c, 0), tuple(np.round(centres[c], 9))))
-        ids = {c: i for i, c in enumerate(order)}
-        by_id = {ids[c]: dict(zip(scaler.columns, map(float, centres[c]))) for c in range(len(centres))}
-        return cls(scaler, model, ids, name_clusters(by_id, rules))
+        order = sorted(range(k), key=lambda c: (-sizes.get(c, 0), tuple(np.round(fitted.centres[c], 9))))
+        fitted.centres = fitted.centres[order]
+        fitted.names = name_clusters({i: dict(zip(scaler.columns, map(float, c))) for i, c in enumerate(fitted.centres)}, rules)
+        return fitted
 
     def transform(self, master: DataFrame) -> DataFrame:
         """Adds ``segmento_id`` and ``segmento_nombre``; narrow, the rows are not shuffled."""
-        columns = [F.col(c) for c in master.columns]
-        z = master.withColumns({f"_z{i}": self.scaler.z(c) for i, c in enumerate(self.scaler.columns)})
-        names = [f"_z{i}" for i in range(len(self.scaler.columns))]
-        scored = self.model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(z))
-        number = F.lit(None).cast("int")
-        for c, i in self.ids.items():
-            number = F.when(F.col("cluster") == c, i).otherwise(number)
-        out = scored.select(*columns, number.alias("segmento_id"))
+        number = kmeans.nearest([self.scaler.z(c) for c in self.scaler.columns], self.centres)
+        out = master.withColumn("segmento_id", number)
         return out.withColumn("segmento_nombre", named(F.col("segmento_id"), self.names))
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.scaler.save(spark, f"{path}/scaler")
-        self.model.write().overwrite().save(f"{path}/kmeans")
-        rows = [(c, i, self.names[i]) for c, i in self.ids.items()]
-        spark.createDataFrame(rows, "cluster int, id int, nombre string").write.mode("overwrite").parquet(f"{path}/ids")
+        rows = [(i, self.names[i], list(map(float, c)), self.cost) for i, c in enumerate(self.centres)]
+        spark.createDataFrame(rows, "id int, nombre string, centro array<double>, costo double").write.mode("overwrite").parquet(f"{path}/centres")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Segmentation":
-        rows = spark.read.parquet(f"{path}/ids").collect()
-        return cls(
-            Standardizer.load(spark, f"{path}/scaler"), KMeansModel.load(f"{path}/kmeans"),
-            {r.cluster: r.id for r in rows}, {r.id: r.nombre for r in rows},
-        )
+        rows = spark.read.parquet(f"{path}/centres").orderBy("id").collect()
+        return cls(Standardizer.load(spark, f"{path}/scaler"), np.array([r.centro for r in rows]), {r.id: r.nombre for r in rows}, rows[0].costo)
 
 
 def pca2(vectors: DataFrame, keep: Sequence[str] = ("user_id",)) -> DataFrame:

@@ -7,13 +7,13 @@ are read once and a failed run restarts from the last table.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..operators import clean, features, master, profiles, propensity, segments, views
+from ..operators import clean, features, master, model_runs, profiles, propensity, segments, views
 from ..sources import tables
 
 
@@ -51,13 +51,12 @@ class ProfileJob:
         return self._stage(joined, "master")
 
     def profiles(self, table: DataFrame) -> DataFrame:
-        """Segments, propensity and the profile table from a master table."""
+        """Segments, propensity and the profile table from a master table; the models are kept for later use."""
         fitted = segments.Segmentation.fit(table, self.rules, k=self.clusters, restarts=self.restarts)
         fitted.save(self.spark, f"{self.out}/modelos/segmentos")
         segmented = self._stage(fitted.transform(table), "master_segmentado")
         models = propensity.train_propensity(segmented, self.targets, params=self.params)
-        for target, ensemble in models.ensembles.items():
-            ensemble.save(f"{self.out}/modelos/{target.removeprefix('tiene_')}")
+        model_runs.save_run(models, f"{self.out}/modelos/propension", **asdict(self.params))
         tables.write_table(models.metrics.drop("top_features"), f"{self.out}/metricas")
         scored = segmented.join(propensity.score_propensity(segmented, models), "user_id")
         modelled = [t.removeprefix("tiene_") for t in models.ensembles]

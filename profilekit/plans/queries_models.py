@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..operators import clean, measures, profiles, propensity, segments, tfidf, vectors
-from ..session import materialize
+from ..operators import clean, measures, model_runs, profiles, propensity, segments, tfidf, vectors
+from ..session import materialize, scratch_path
 from . import checks as q
 from .queries_users import master_table, TYPES, replied  # noqa: F401
 from .registry import query
@@ -201,54 +199,59 @@ def target_eligibility(spark, sf):
 MODELLED = {f"tiene_{t}": t for t in TYPES}
 
 
-def eligible(df: DataFrame) -> list[str]:
-    """The targets that training keeps, in the order of ``MODELLED``."""
-    kept = {r["col_target"] for r in propensity.target_eligibility(df, list(MODELLED)).where("elegible").collect()}
-    return [t for t in MODELLED if t in kept]
-
+def trained_run(spark, sf) -> tuple[DataFrame, propensity.PropensityModels]:
+    """The master table and the models trained on it with the library's defaults, for all targets.
 
-def per_target(frame: DataFrame, targets: list[str], run, schema: str) -> DataFrame:
-    """``run(target)`` for all targets, under each other, with their names."""
-    none = frame.sparkSession.createDataFrame([], f"col_target string, {schema}")
-    return reduce(DataFrame.unionByName, [run(t).withColumn("col_target", F.lit(t)) for t in targets] or [none])
+    The first learner query of a session trains and writes the run; the others load it.
+    """
+    known = getattr(spark, "_profilekit_runs", None)
+    if known is None:
+        known = spark._profilekit_runs = {}
+    if sf not in known:
+        df, root = written_master(spark, sf), scratch_path(spark, "runs")
+        model_runs.save_run(propensity.train_propensity(df, MODELLED), root)
+        known[sf] = df, root
+    df, root = known[sf]
+    return df, model_runs.load_run(spark, root)
 
 
 @query("propensity_train")
 def propensity_train(spark, sf):
-    trained = propensity.train_propensity(written_master(spark, sf), MODELLED)
+    _, trained = trained_run(spark, sf)
     return trained.metrics.select("producto", "col_target", F.explode("top_features").alias("variable"))
 
 
 @query("propensity_metrics")
 def propensity_metrics(spark, sf):
-    trained = propensity.train_propensity(written_master(spark, sf), MODELLED)
+    _, trained = trained_run(spark, sf)
     return trained.metrics.drop("top_features")
 
 
 @query("cv_auc")
 def cv_auc(spark, sf):
-    df = written_master(spark, sf)
-    targets = eligible(df)
-    frame, _ = propensity.training_frame(df, targets)
-    return per_target(df, targets, lambda t: propensity.cv_auc(frame, t), "fold int, auc double")
+    _, trained = trained_run(spark, sf)
+    return trained.folds.select("fold", "auc", "col_target")
 
 
-@query("calibrated_scores")
-def calibrated_scores(spark, sf):
-    df = written_master(spark, sf)
-    targets = eligible(df)
-    frame, _ = propensity.training_frame(df, targets)
+def all_scores(df: DataFrame, trained: propensity.PropensityModels) -> DataFrame:
+    """``col_target, user_id, tiene, score``: every user's unrounded score for every modelled target."""
+    names = list(trained.ensembles)
+    frame, _ = propensity.training_frame(df, names, trained.features, trained.encoder)
+    if not names:
+        return frame.select(F.lit("").alias("col_target"), "user_id", F.lit(0).alias("tiene"), F.lit(0.0).alias("score")).limit(0)
+    scored = frame.select("user_id", propensity.scores(F.col("features"), list(trained.ensembles.values())).alias("_s"), *names)
+    rows = F.array(*[F.struct(F.lit(t).alias("col_target"), F.col(t).alias("tiene"), F.get("_s", F.lit(i)).alias("score")) for i, t in enumerate(names)])
+    return scored.select("user_id", F.inline(rows))
 
-    def scored(t: str) -> DataFrame:
-        return propensity.CalibratedEnsemble.fit(frame, t).transform(frame).select("user_id", F.col(t).alias("tiene"), "score")
 
-    return per_target(df, targets, scored, "user_id string, tiene int, score double")
+@query("calibrated_scores")
+def calibrated_scores(spark, sf):
+    return all_scores(*trained_run(spark, sf)).select("user_id", "tiene", "score", "col_target")
 
 
 @query("propensity_scores")
 def propensity_scores(spark, sf):
-    df = written_master(spark, sf)
-    trained = propensity.train_propensity(df, MODELLED)
+    df, trained = trained_run(spark, sf)
     owned = list(trained.ensembles)
     scored = propensity.score_propensity(df, trained).join(df.select("user_id", *owned), "user_id")
     props = {f"prop_{t.removeprefix('tiene_')}": t for t in owned}

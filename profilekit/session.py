@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,9 +56,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Inside ``temporary`` the table goes at the end of the block, unless ``keep`` is set.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    open_ = getattr(spark, "_profilekit_open", None)
+    if open_ and not keep:
+        open_[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._profilekit_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote and nobody reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._profilekit_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all tables that were materialised inside it, but those written with ``keep``."""
+    open_ = getattr(spark, "_profilekit_open", None)
+    if open_ is None:
+        open_ = spark._profilekit_open = []
+    open_.append([])
+    try:
+        yield
+    finally:
+        for path in open_.pop():
+            _delete(spark, path)

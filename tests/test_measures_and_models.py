@@ -1,11 +1,14 @@
 """Measures by hand, model invariants, persistence."""
 
+from datetime import datetime
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from profilekit.operators import measures, propensity, segments
+from profilekit.operators import boosting, isotonic, kmeans, master, measures, model_runs, propensity, segments, views
 from profilekit.session import scratch_path
 
 
@@ -154,10 +157,179 @@ def test_training_scores_and_reload(spark, people):
     scores = propensity.score_propensity(people, trained)
     got = scores.agg(F.min("prop_p"), F.max("prop_p"), F.count("prop_p")).first()
     assert 0 <= got[0] < got[1] <= 1 and got[2] == 300
-    path = scratch_path(spark, "model")
-    trained.ensembles["tiene_p"].save(path)
-    trained.ensembles["tiene_p"] = propensity.CalibratedEnsemble.load(path, QUICK.folds)
-    assert propensity.score_propensity(people, trained).exceptAll(scores).count() == 0
+    root = scratch_path(spark, "model")
+    first = model_runs.save_run(trained, root, rounds=5)
+    with pytest.raises(ValueError):
+        model_runs.save_run(trained, root, first)
+    again = model_runs.load_run(spark.newSession(), root)
+    assert again.features == trained.features and again.products == {"tiene_p": "P"}
+    moved = people.withColumn("t", F.when(F.col("user_id") == 5, "new").otherwise(F.col("t")))
+    want = {tuple(r) for r in propensity.score_propensity(moved, trained).collect()}
+    assert {tuple(r) for r in propensity.score_propensity(moved, again).collect()} == want
+    # runs are appended, and the view reads what the job wrote
+    second = model_runs.save_run(trained, root, at=datetime(2100, 1, 1))
+    assert model_runs.runs(spark, root).count() == 2
+    newest = views.latest_metrics(model_runs.runs(spark, root)).collect()
+    assert [(r.run_id, r.producto, r.test_auc) for r in newest] == [(second, "P", row.test_auc)]
+    with pytest.raises(LookupError):
+        model_runs.load_run(spark, root, "absent")
+    with pytest.raises(LookupError):
+        model_runs.load_run(spark, scratch_path(spark, "none"))
+
+
+def forests_of(models):
+    return [
+        (f.start, f.feature.tolist(), f.threshold.tolist(), f.value.tolist(), i.boundaries.tolist(), i.predictions.tolist())
+        for e in models.ensembles.values() for f, i in e.members
+    ]
+
+
+def test_trees_do_not_depend_on_partitions(spark, people):
+    more = people.select("*", (F.col("user_id") % 3 == 0).cast("int").alias("tiene_s"))
+    want = propensity.train_propensity(more, {"tiene_p": "P", "tiene_s": "S"}, ["a", "b", "t"], QUICK)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        got = propensity.train_propensity(more.repartition(7), {"tiene_p": "P", "tiene_s": "S"}, ["a", "b", "t"], QUICK)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert forests_of(got) == forests_of(want)
+    # targets that are trained together are those trained alone
+    alone = propensity.train_propensity(more, {"tiene_s": "S"}, ["a", "b", "t"], QUICK)
+    assert forests_of(alone) == forests_of(want)[QUICK.folds :]
+
+
+def plain_forest(x, y, chosen, params):
+    """Boosted trees by trying every cut of every column."""
+    p0 = y.mean()
+    margin = np.full(len(y), np.log(p0 / (1 - p0)))
+    for number in range(params.rounds):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = np.rint((y - p) * 2**20), np.rint(p * (1 - p) * 2**20)
+        use = chosen(number)
+
+        def grow(rows, depth):
+            own = rows & use
+            best = None
+            if depth:
+                for f in range(x.shape[1]):
+                    values = np.unique(x[:, f])
+                    for cut in (values[:-1] + values[1:]) / 2:
+                        left, right = own & (x[:, f] <= cut), own & (x[:, f] > cut)
+                        if left.any() and right.any():
+                            gain = left.sum() * right.sum() / own.sum() * (g[left].mean() - g[right].mean()) ** 2
+                            if best is None or gain > best[0] * (1 + 1e-12):
+                                best = gain, f, cut
+            if best is None or best[0] <= 1e-9:
+                return np.where(rows, params.rate * g[own].sum() / h[own].sum() if own.any() and h[own].sum() else 0.0, 0.0)
+            _, f, cut = best
+            return grow(rows & (x[:, f] <= cut), depth - 1) + grow(rows & (x[:, f] > cut), depth - 1)
+
+        margin = margin + grow(np.ones(len(y), bool), params.depth)
+    return margin
+
+
+def test_forest_equals_trying_every_cut(spark):
+    rng = np.random.default_rng(8)
+    params = propensity.TreeParams(rounds=13, depth=3, rate=0.3, bins=64, rewrite=4)
+    x = np.round(rng.normal(size=(160, 3)), 1)
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + rng.normal(0, 0.5, 160) > 0.3).astype(int)
+    keys = [int(k) for k in rng.integers(-(2**62), 2**62, 160)]
+    cuts = boosting.cut_points(x, params.bins)
+    bins = boosting.to_bins(x, cuts)
+    rows = [(k, bytes(b), bytes([int(v)]), bytes([int(i % 4 == 0)]), None) for i, (k, b, v) in enumerate(zip(keys, bins, y))]
+    table = spark.createDataFrame(rows, "k long, bins binary, labels binary, folds binary, margins binary").repartition(3)
+    (forest,) = boosting.fit_forests(table, [boosting.Model(0, 0, 1)], 3, 1, 1, params)
+    train = np.arange(160) % 4 != 0
+    chosen = lambda number: boosting.picked(np.array(keys)[train], params.seed, number, params.subsample)
+    want = plain_forest(x[train], y[train], chosen, params)
+    assert forest.start + forest.margins(bins[train]) == pytest.approx(want, abs=1e-9)
+    assert forest.importances(3).sum() == pytest.approx(1) and forest.importances(3).argmin() == 2
+
+
+@pytest.mark.parametrize("distinct", [40, 20_000])
+def test_isotonic_blocks_equal_the_sequential_fit(spark, distinct):
+    rng = np.random.default_rng(distinct)
+    scores = rng.integers(0, distinct, 20_000) / distinct
+    labels = (rng.random(20_000) < 0.2 + 0.6 * scores).astype(int)
+    groups = rng.integers(0, 3, 20_000)
+    df = spark.createDataFrame([(int(g), float(s), int(y)) for g, s, y in zip(groups, scores, labels)], "m long, p double, y int")
+    got = isotonic.fit_isotonic(df.repartition(11), "m", "p", "y")
+    assert sorted(got) == [0, 1, 2]
+    for k in got:
+        p, y = scores[groups == k], labels[groups == k]
+        blocks = []
+        for s in np.unique(p):
+            blocks.append([s, s, int(y[p == s].sum()), int((p == s).sum())])
+            while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+                low, _, a, b = blocks.pop(-2)
+                blocks[-1] = [low, blocks[-1][1], blocks[-1][2] + a, blocks[-1][3] + b]
+        edges = [e for low, high, _, _ in blocks for e in ([low, high] if high > low else [low])]
+        assert got[k].boundaries.tolist() == edges
+        assert got[k].predictions.tolist() == [a / n for low, high, a, n in blocks for _ in range(1 + (high > low))]
+    assert isotonic.IsotonicMap(np.zeros(0), np.zeros(0))(np.array([0.3])) == [0.3]
+
+
+def test_grouped_auc_equals_one_by_one(spark, scored):
+    many = scored.withColumn("g", F.col("id") % 4)
+    got = {r.g: (r.n_pos, r.n_neg, r.auc) for r in measures.grouped_auc(many, "g", "s", "y", slices=5).collect()}
+    for g in range(4):
+        one = measures.roc_auc(many.where(F.col("g") == g), "s", "y").first()
+        assert got[g] == (one.n_pos, one.n_neg, pytest.approx(one.auc, abs=1e-12))
+
+
+def test_folds_of_all_targets_are_even(spark, people):
+    params = propensity.TreeParams(folds=5)
+    holed = people.withColumn("tiene_h", F.when(F.col("user_id") % 7 > 0, F.col("tiene_p")))
+    table = propensity.fold_table(holed, ["tiene_p", "tiene_h"], params).join(holed, "user_id")
+    for i, t in enumerate(["tiene_p", "tiene_h"]):
+        cross, inner = F.col("folds")[2 * i], F.col("folds")[2 * i + 1]
+        counts = {}
+        for r in table.groupBy(t, cross.alias("c"), inner.alias("k")).count().collect():
+            if r[t] is None:
+                assert (r.c, r.k) == (-1, -1)
+                continue
+            for system, fold in (("c", r.c), ("k", r.k)):
+                counts[(system, r[t], fold)] = counts.get((system, r[t], fold), 0) + r["count"]
+        for y in (0, 1):
+            sizes = [counts[("c", y, f)] for f in range(5)]
+            inner_sizes = [counts[("k", y, f)] for f in range(5)]
+            assert max(sizes) - min(sizes) <= 1 and max(inner_sizes) - min(inner_sizes) <= 1
+            assert counts[("k", y, -2)] == -(-sum(sizes) * 2 // 10)
+
+
+def test_category_codes_are_ranked_in_ranges(spark):
+    rows = [(i, f"l{(i * 7919) % 5000:05d}", ["b", "a", None][i % 3]) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "user_id long, u string, v string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        encoder = master.CategoryEncoder(["u", "v", "absent"]).fit(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert encoder.codes.rdd.getNumPartitions() >= 1 and encoder.sizes == [5000, 2]
+    for r in encoder.transform(df).collect():
+        assert r.u_code == int(r.u[1:]) and r.v_code == {"a": 0, "b": 1, None: 2}[r.v]
+    unseen = spark.createDataFrame([(1, "zz", "a")], df.schema)
+    assert [tuple(r)[3:] for r in encoder.transform(unseen).collect()] == [(5000, 0)]
+
+
+def test_all_restarts_share_their_scans(spark, people, monkeypatch):
+    vectors = people.select("user_id", F.array("a", "b").alias("features"))
+    scans, real = [], kmeans._pass
+    monkeypatch.setattr(kmeans, "_pass", lambda rows, fits, width: scans.append(len(fits)) or real(rows, fits, width))
+    best = kmeans.fit_all(vectors, [(2, 4), (3, 4)])
+    assert scans[0] == 8 and scans[-1] == 8 and len(scans) < 40 and min(scans) < 8  # those at rest drop out
+    points = np.array([r.features for r in vectors.orderBy("user_id").collect()])
+    for k, fit in best.items():
+        far = ((points[:, None] - fit.centres[None]) ** 2).sum(axis=2)
+        assert fit.cost == pytest.approx(far.min(axis=1).sum(), rel=1e-4)
+        own = far.argmin(axis=1)
+        means = np.array([points[own == c].mean(axis=0) for c in range(k)])
+        assert ((means - fit.centres) ** 2).sum() < 1e-3
+    again = kmeans.fit_all(vectors.repartition(6), [(3, 4)])
+    assert (again[3].centres == best[3].centres).all() and again[3].cost == best[3].cost
+    assert kmeans.fit_all(vectors.limit(0), [(2, 1)]) == {}
+    same = kmeans.fit_all(vectors.limit(1), [(3, 2)])[3]  # fewer rows than clusters
+    assert same.cost == pytest.approx(0, abs=1e-9)
 
 
 def test_missing_features_count_as_zero(people):
@@ -175,6 +347,7 @@ def test_shuffled_labels_give_no_signal(people):
 def test_calibration_is_monotone_per_member(people):
     frame, _ = propensity.training_frame(people, ["tiene_p"], ["a", "b"])
     ensemble = propensity.CalibratedEnsemble.fit(frame, "tiene_p", QUICK)
+    assert len(ensemble.members) == QUICK.folds
     for _, iso in ensemble.members:
         values = list(iso.predictions)
         assert values == sorted(values) and 0 <= values[0] and values[-1] <= 1
@@ -202,8 +375,14 @@ def test_registered_learners_do_the_whole_job(monkeypatch):
     monkeypatch.setattr(segments, "kmeans_sweep", caught("sweep"))
     monkeypatch.setattr(segments.Segmentation, "fit", caught("segments"))
     monkeypatch.setattr(segments.Standardizer, "fit", lambda df: type("S", (), {"vectors": lambda self, df: None})())
-    for run, name in ((qm.propensity_train, "train"), (qm.propensity_metrics, "train"), (qm.propensity_scores, "train"), (qm.kmeans_sweep, "sweep"), (qm.kmeans_segments, "segments")):
+    monkeypatch.setattr(qm, "scratch_path", lambda *_: "")
+    learners = (qm.propensity_train, qm.propensity_metrics, qm.propensity_scores, qm.cv_auc, qm.calibrated_scores)
+    for run, name in (*((q, "train") for q in learners), (qm.kmeans_sweep, "sweep"), (qm.kmeans_segments, "segments")):
+        seen.clear()
         with pytest.raises(Stop):
-            run(None, None)
+            run(SimpleNamespace(), None)
         assert seen[name][1] == {}
+    seen.clear()
+    with pytest.raises(Stop):
+        qm.cv_auc(SimpleNamespace(), None)
     assert list(seen["train"][0][1]) == [f"tiene_{t}" for t in qm.TYPES] and len(seen["train"][0]) == 2
