@@ -1,6 +1,6 @@
 """k-means with all numbers of clusters and all restarts in one scan per iteration.
 
-Tasks add up counts, sums and costs per fit and cluster; the driver sees one row for each of them. Coordinates are
+Tasks add up counts, sums and costs per fit and cluster, executors sum them where the tasks are many. Coordinates are
 rounded to multiples of 2^-20, so the sums are exact and the centres do not depend on how the rows are partitioned.
 Fits that have come to rest drop out of the later scans.
 """
@@ -12,11 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, temporary
-from .boosting import matrix, parts_of
+from .boosting import BLOBS, matrix, parts_of, total
 
 UNIT = float(1 << 20)
 #: The rows of least hash from which the first centres are drawn.
@@ -60,7 +61,6 @@ def _pass(rows: DataFrame, fits: Sequence[Fit], width: int) -> dict[int, tuple[n
     centres = [f.centres for f in fits]
     edges = np.cumsum([0, *(len(c) for c in centres)])
     stacked = np.concatenate(centres)
-    names = [f"s{i}" for i in range(width)]
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums, cost = np.zeros(len(stacked)), np.zeros((len(stacked), width)), np.zeros(len(stacked))
@@ -75,14 +75,11 @@ def _pass(rows: DataFrame, fits: Sequence[Fit], width: int) -> dict[int, tuple[n
                     cost[a:b] += np.bincount(own, np.rint(far[np.arange(len(own)), a + own] * UNIT), b - a)
                     for f in range(width):
                         sums[a:b, f] += np.bincount(own, points[:, f] * UNIT, b - a)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(stacked), dtype=np.int32)), *(pa.array(x.astype(np.int64)) for x in (n, cost, *sums.T))], ["c", "n", "cost", *names]
-        )
-
-    sent = rows.mapInArrow(add_up, "c int, n long, cost long, " + ", ".join(f"{x} long" for x in names))
-    n, sums, cost = np.zeros(len(stacked), np.int64), np.zeros((len(stacked), width)), np.zeros(len(stacked))
-    for r in sent.groupBy("c").agg(*[F.sum(x).alias(x) for x in ("n", "cost", *names)]).collect():
-        n[r.c], cost[r.c], sums[r.c] = r["n"], r["cost"] / UNIT, [r[x] / UNIT for x in names]
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.concatenate([n, cost, sums.ravel()]).tobytes()], pa.binary())], ["m", "sums"])
+
+    size = 8 * len(stacked) * (width + 2)
+    whole = total(rows.mapInArrow(add_up, BLOBS), rows.rdd.getNumPartitions(), size)[0]
+    n, cost, sums = whole[: len(stacked)], whole[len(stacked) : 2 * len(stacked)] / UNIT, whole[2 * len(stacked) :].reshape(-1, width) / UNIT
     return {i: (n[a:b], sums[a:b], float(cost[a:b].sum())) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:]))}
 
 
@@ -99,7 +96,7 @@ def fit_all(vectors: DataFrame, wanted: Sequence[tuple[int, int]], seed: int = 4
         if not n:
             return {}
         width = len(sample[0])
-        points, rows = matrix(sample, width), rows.select("x")
+        points, rows = matrix(sample, width), rows.select("x").persist(StorageLevel.MEMORY_AND_DISK)
         fits = [(k, Fit(i, first_centres(points, k, np.random.default_rng([seed, k, i])))) for k, restarts in wanted for i in range(restarts)]
         for _ in range(max_iter):
             moving = [f for _, f in fits if not f.resting]
@@ -112,6 +109,7 @@ def fit_all(vectors: DataFrame, wanted: Sequence[tuple[int, int]], seed: int = 4
                 fit.centres = after
         for i, (_, _, cost) in _pass(rows, [f for _, f in fits], width).items():
             fits[i][1].cost = cost
+        rows.unpersist()
     best: dict[int, Fit] = {}
     for k, fit in fits:
         if k not in best or fit.cost < best[k].cost:
