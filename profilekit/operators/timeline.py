@@ -1,9 +1,9 @@
 """Per-key running values in time order that survive very long keys.
 
-A plain window would sort all rows of a key in one task. Here a key is cut into calendar days; each
-(key, day) piece is a window of its own and a small table with one row per (key, day) carries sums and
-last values from day to day. The rows themselves are shuffled once. Rows without a time come after all
-others; they are cut into runs of the (unique, integer) tie-breaker instead.
+A plain window would sort all rows of a key in one task. Here the rows are ranged by key, time and tie-breaker and
+written once; a range holds about as many rows as any other, whatever the keys, days or missing times. Each (key,
+range) piece is a window of its own, and a small table with one row per piece carries sums and last values from
+range to range.
 """
 
 from __future__ import annotations
@@ -13,18 +13,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNDATED_RUN = 100_000
+from ..session import materialize
 
 
-def with_slice(df: DataFrame, time: str, tie: str) -> DataFrame:
-    """``_day`` and ``_run``: together they never decrease along (time nulls last, tie)."""
-    day = F.to_date(time)
-    return df.withColumns(
-        {
-            "_day": F.coalesce(day, F.lit("9999-12-31").cast("date")),
-            "_run": F.when(day.isNull(), F.floor(F.col(tie) / UNDATED_RUN)).otherwise(F.lit(0)).cast("bigint"),
-        }
-    )
+def ranged(df: DataFrame, keys: Sequence[str], time: str, tie: str) -> DataFrame:
+    """``df`` written with ``_part``, which never decreases along (keys, time nulls last, tie).
+
+    There are as many ranges as shuffle partitions; adaptive execution joins neighbours that are measured to be small.
+    """
+    order = [*keys, F.col(time).asc_nulls_last(), F.col(tie)]
+    return materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges", keep=True)
 
 
 def running(
@@ -43,8 +41,8 @@ def running(
     """
     sums, totals, previous = sums or {}, totals or {}, previous or {}
     keys = list(keys)
-    cut = [*keys, "_day", "_run"]
-    sliced = with_slice(df.dropna(subset=keys), time, tie)
+    cut = [*keys, "_part"]
+    sliced = ranged(df.dropna(subset=keys), keys, time, tie)
 
     inside = Window.partitionBy(*cut).orderBy(F.col(time).asc_nulls_last(), F.col(tie))
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -62,7 +60,7 @@ def running(
         F.count(F.lit(1)).alias("_rows"),
     )
     whole = Window.partitionBy(*keys)
-    across = whole.orderBy("_day", "_run")
+    across = whole.orderBy("_part")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carry = per_slice.select(
         *cut,

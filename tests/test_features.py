@@ -5,9 +5,10 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from profilekit.operators import features, sessions
+from profilekit.operators import features, sessions, timeline
 from profilekit.operators.timeline import running
 
 BASE = dt.datetime(2024, 1, 1)
@@ -201,3 +202,22 @@ def test_history_pages_keep_every_message_in_order(spark):
     assert [len(p.historial) for p in pages] == [20, 20, 10]
     asked = [m.content for p in pages for m in p.historial if m.role == "user"]
     assert asked == [f"m{i}" for i in range(25)]
+
+
+@pytest.mark.parametrize("kind", ["one day", "one moment", "undated"])
+def test_long_keys_are_cut_evenly(spark, kind):
+    """A hundred thousand rows of one key: the ranges are even, and the values are those of a plain window."""
+    n = 100_000
+    moment = {"one day": "timestamp_ntz '2024-03-01' + make_dt_interval(0, 0, 0, id % 5000)", "one moment": "timestamp_ntz '2024-03-01'", "undated": "cast(null as timestamp_ntz)"}[kind]
+    df = spark.range(n).selectExpr("if(id % 10 = 0, id % 7, 99) as user_id", f"{moment} as date", "id * 7919 % 100003 as message_id", "cast(id % 3 as int) as x")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in timeline.ranged(df, ["user_id"], "date", "message_id").groupBy("_part").count().collect()]
+        got = timeline.running(df, ["user_id"], "date", "message_id", {"s": F.col("x")}, {"n": F.lit(1)}, {"before": "date"})
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) == 8 and max(sizes) < 2 * n / 8
+    w = Window.partitionBy("user_id").orderBy(F.col("date").asc_nulls_last(), "message_id")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.sum("x").over(upto).alias("s"), F.count("*").over(Window.partitionBy("user_id")).alias("n"), F.lag("date").over(w).alias("before"))
+    assert got.count() == n and got.exceptAll(want.select(*got.columns)).count() == 0
