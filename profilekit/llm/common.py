@@ -29,13 +29,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back; what its stages shuffled is deleted as soon as it is written."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, "false")
     conf.set(key, "true")
     try:
-        return session.materialize(df, name)
+        return session.materialize(df, name, keep)
     finally:
         conf.set(key, before)
 
@@ -45,6 +45,19 @@ def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
     return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def in_struct(docs: DataFrame) -> DataFrame:
+    """``row`` and ``own``, all columns of ``docs`` in one struct, so that no working column meets one of theirs; written once."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")), "numbered")
+
+
+def with_text(rows: DataFrame, text: Column, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from ``own``, with another text; ``n_chars``, where the table has it, follows the text."""
+    changed = {"text": text.cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changed.get(c, F.col("own")[c]).alias(c) for c in docs.columns])
+
+
 def utf8(column: str = "text") -> Column:
     """The text's bytes; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered
-
+from ..operators.timeline import running
+from .common import in_struct, materialize, with_text
 
 #: Words in a block; the unit of the quotas.
 BLOCK_WORDS = 64
-#: Blocks in a shard, about; a shard is what one window task ranks.
+#: Blocks in a shard of a source, about; it is what one window task ranks.
 SHARD_BLOCKS = 100_000
+#: Divisors that one pass tries.
+DIVISORS = 32
 SHARE, MOST, SEED = 1.5, 2, "mix-1"
 WEIGHTS = (3, 1, 2)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,36 +26,58 @@ def _place(*parts: Column | str) -> Column:
 
 
 def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """source, source_size, target: ``share`` of all sizes by weight, at most ``most`` times a source's own size.
+    """source, source_size, target, turn: ``share`` of all sizes by weight, at most ``most`` times a source's own size.
 
     Sources by code point, null last, weigh ``weights`` in turn. What a full source cannot take goes to
     the others by weight: sources fill in the order of limit / weight, and the level at which the
-    first one is not filled holds for all that remain. One row per source passes one task.
+    first one is not filled holds for all that remain. Both orders are summed up in ranges, so sources may be many.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    listed = by_source.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.pmod(turn - 1, F.lit(len(weights))) + 1))
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_all", F.lit(0))
+    turned = running(by_source, ["_all"], "source", "source_size", sums={"turn": F.lit(1)})
+    listed = turned.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("turn") - 1, F.lit(len(weights))).cast("int") + 1))
     listed = listed.withColumn("limit", F.col("source_size") * most).withColumn("reach", F.col("limit") / F.col("weight"))
-    every, line = W.partitionBy(), W.orderBy("reach", F.col("source").asc_nulls_last())
-    before = line.rowsBetween(W.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(every) * F.lit(share) - F.coalesce(F.sum("limit").over(before), F.lit(0))) / (
-        F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    )
-    levelled = listed.withColumn("level", level).withColumn("level", F.max(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(every))
-    filled = F.when(F.col("level").isNull() | (F.col("reach") <= F.col("level")), F.col("limit").cast("double"))
-    return levelled.select("source", "source_size", F.coalesce(filled, F.col("weight") * F.col("level")).alias("target"))
-
-
-def quotas(parts: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Blocks for each (shard, source) by Sainte-Laguë: the shard's seats go to the highest of votes / (2 k + 1).
-
-    ``parts`` has shard, source and votes (words wanted). A shard has as many seats as its votes fill blocks, rounded.
+    line = materialize(running(
+        listed, ["_all"], "reach", "turn",
+        sums={"_limits": F.col("limit"), "_weights": F.col("weight")}, totals={"_size": F.col("source_size"), "_weight": F.col("weight")},
+    ), "levels")
+    level = (F.col("_size") * F.lit(share) - (F.col("_limits") - F.col("limit"))) / (F.col("_weight") - (F.col("_weights") - F.col("weight")))
+    found = line.select(F.max(F.when(level <= F.col("reach"), level))).first()[0]
+    level = F.lit(found).cast("double")
+    filled = F.when(level.isNull() | (F.col("reach") <= level), F.col("limit").cast("double"))
+    return line.select("source", "source_size", F.coalesce(filled, F.col("weight") * level).alias("target"), "turn")
+
+
+def quotas(votes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``votes`` with ``quota``: blocks by Sainte-Laguë, the seats go to the highest of votes / (2 k + 1).
+
+    ``votes`` is a written table with votes (words wanted) and turn (a whole number, the order of equal quotients). There are as many seats as
+    the votes fill blocks, rounded. With a divisor d, votes / d rounded are the seats of quotients above d / 2; a
+    divisor is searched that gives all seats, many being tried in one pass. Quotients that are equal, or too near for
+    that, are put in order, and as many as are still missing get a seat.
     """
-    seats = F.floor(F.sum("votes").over(W.partitionBy("shard")) / block_words + 0.5)
-    tried = F.explode(F.sequence(F.lit(0), F.ceil(F.col("votes") / block_words).cast("int") + 2)).alias("k")
-    quotients = parts.withColumn("seats", seats).select("shard", "source", "votes", "seats", tried)
-    line = W.partitionBy("shard").orderBy((F.col("votes") / (2 * F.col("k") + 1)).desc(), F.col("source").asc_nulls_last(), "k")
-    return quotients.withColumn("place", F.row_number().over(line)).where("place <= seats").groupBy("shard", "source").agg(F.count("*").alias("quota"))
+    v = F.col("votes")
+
+    def seats(divisor: float) -> Column:
+        return F.floor(v / F.lit(divisor) + 0.5)
+
+    whole = votes.agg(F.sum("votes").alias("v"), F.count_if(v > 0).alias("n"), F.max("votes").alias("most")).first()
+    wanted = int((whole.v or 0.0) / block_words + 0.5)
+    if not wanted:
+        return votes.withColumn("quota", F.lit(0).cast("long"))
+    # rounding changes the seats by at most one half for each source
+    low, high = whole.v / (wanted + whole.n + 1), whole.v / (wanted - whole.n - 1) if wanted > whole.n + 1 else 4 * whole.most
+    while high / low - 1 > 1e-12:
+        tried = [low * (high / low) ** (i / (DIVISORS + 1)) for i in range(1, DIVISORS + 1)]
+        sums = votes.agg(*[F.sum(seats(d)).alias(f"d{i}") for i, d in enumerate(tried)]).first()
+        exact = [d for d, n in zip(tried, sums) if n == wanted]
+        if exact:
+            return votes.withColumn("quota", seats(exact[0]))
+        low, high = max([low, *(d for d, n in zip(tried, sums) if n > wanted)]), min([high, *(d for d, n in zip(tried, sums) if n < wanted)])
+    given = votes.withColumn("quota", seats(high))
+    missing = wanted - given.agg(F.sum("quota")).first()[0]
+    after = given.withColumns({"_next": -v / (2 * F.col("quota") + 1), "_all": F.lit(0)})
+    placed = running(after, ["_all"], "_next", "turn", sums={"_place": F.lit(1)})
+    return placed.withColumn("quota", F.col("quota") + (F.col("_place") <= missing).cast("long")).select(*votes.columns, "quota")
 
 
 def select(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS,
@@ -62,9 +86,10 @@ def select(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tup
     (further blocks taken of it), extra (their words).
 
     Null texts have no words, and documents without words are never taken; a null source is a source
-    of its own. Repeated rows count each; other columns are ignored. Documents are dealt into shards by a seeded hash of
-    doc_id and size, so a large source lies in all shards. In each shard a source's quota of blocks is met by whole passes over its
-    documents and, for the rest, by blocks in a seeded order, each taken once at most, so no
+    of its own. Repeated rows count each; other columns are ignored. A source's documents are dealt into shards of about
+    ``shard_blocks`` blocks by a seeded hash of doc_id and size; a smaller source is one shard. The quota of a source,
+    given among all sources, is dealt to its shards by rounding what it would be up to each of them. In a shard it is met by whole
+    passes over its documents and, for the rest, by blocks in a seeded order, each taken once at most, so no
     document gives more than ``most`` times its words. ``row`` is the column ``number``, or counts the rows. An empty table gives an empty one.
     """
     counted = docs.select(
@@ -73,31 +98,36 @@ def select(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tup
     )
     sizes = materialize(counted, "sizes")
     wanted = materialize(targets(sizes, share, most, weights), "targets")
-    words = wanted.agg(F.sum("target")).first()[0] or 0.0
-    shards = int(words // (block_words * shard_blocks)) + 1
+    given = materialize(quotas(wanted.withColumn("votes", F.col("target")), block_words), "quotas")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    shard = F.pmod(F.conv(F.substring(_place(name, "size"), 1, 8), 16, 10).cast("long"), F.lit(shards))
+    hashed = F.conv(F.substring(_place(name, "size"), 1, 8), 16, 10).cast("long")
     # one exact key for a source, so that null ones meet as well
     key = F.concat(F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce("source", F.lit("")))
-    wanted = wanted.withColumn("key", key).select("key", "source_size", "target")
-    placed = sizes.withColumn("key", key).join(F.broadcast(wanted) if wanted.count() <= 100_000 else wanted, "key").withColumn("shard", shard)
-    parts = placed.where("size > 0").groupBy("shard", "key").agg(
-        F.sum("size").alias("here"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
+    per_source = given.withColumn("key", key).select(
+        "key", "source_size", "target", "quota", F.floor(F.try_divide("target", "source_size")).alias("passes"),
+        (F.floor(F.col("source_size") / (block_words * shard_blocks)) + 1).alias("shards"),
     )
-    parts = parts.withColumn("votes", F.col("target") * F.col("here") / F.col("source_size")).withColumn("passes", F.floor(F.col("target") / F.col("source_size")))
-    seats = quotas(parts.select("shard", F.col("key").alias("source"), "votes"), block_words).withColumnRenamed("source", "key")
-    given = parts.join(seats, ["shard", "key"], "left")
-    need = F.coalesce("quota", F.lit(0)) * block_words - F.col("passes") * F.col("here")
-    given = given.select("shard", "key", "passes", F.when(F.col("passes") >= most, 0).otherwise(F.least(F.greatest(need, F.lit(0)), F.col("here"))).alias("need"))
+    placed = sizes.withColumn("key", key).join(per_source.select("key", "source_size", "target", "shards"), "key")
+    placed = placed.withColumn("shard", F.pmod(hashed, F.col("shards"))).drop("shards")
+    parts = placed.where("size > 0").groupBy("key", "shard").agg(F.sum("size").alias("here"))
+    upto = running(parts, ["key"], "shard", "here", sums={"_upto": F.col("here")}).join(per_source.drop("shards"), "key")
+
+    def dealt(words: Column) -> Column:
+        return F.floor(F.col("quota") * words / F.col("source_size") + 0.5)
+
+    quota = dealt(F.col("_upto")) - dealt(F.col("_upto") - F.col("here"))
+    need = quota * block_words - F.col("passes") * F.col("here")
+    needs = materialize(upto.select("shard", "key", F.when(F.col("passes") >= most, 0).otherwise(F.least(F.greatest(need, F.lit(0)), F.col("here"))).alias("need")), "needs")
     blocks = placed.where("size > 0").select(
         "row", "doc_id", "size", "shard", "key", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / block_words).cast("int"))).alias("block")
     ).withColumn("words", F.least(F.lit(block_words), F.col("size") - F.col("block") * block_words))
     line = W.partitionBy("shard", "key").orderBy(_place(name, "size", "block"), "doc_id", "size", "block", "row")
     before = F.coalesce(F.sum("words").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    chosen = blocks.withColumn("before", before).join(given, ["shard", "key"]).where(F.col("before") + F.col("words") / 2 <= F.col("need"))
+    chosen = blocks.withColumn("before", before).join(needs, ["shard", "key"]).where(F.col("before") + F.col("words") / 2 <= F.col("need"))
     extra = chosen.groupBy("row").agg(F.sum("words").alias("extra"), F.sort_array(F.collect_list("block")).alias("blocks"))
-    return placed.join(given.select("shard", "key", "passes"), ["shard", "key"], "left").join(extra, "row", "left").select(
-        "row", "doc_id", "size", "source_size", "target", F.coalesce("passes", F.lit(0)).cast("int").alias("passes"), "blocks", F.coalesce("extra", F.lit(0)).alias("extra")
+    whole = placed.join(per_source.select("key", F.coalesce("passes", F.lit(0)).alias("passes")), "key")
+    return whole.join(extra, "row", "left").select(
+        "row", "doc_id", "size", "source_size", "target", F.col("passes").cast("int").alias("passes"), "blocks", F.coalesce("extra", F.lit(0)).alias("extra")
     )
 
 
@@ -109,13 +139,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, **options) -> DataFrame:
     """What the mix takes, with all columns of ``docs``: a row for each whole pass over a document, and one with the
     text of its further blocks. ``n_chars``, where the table has it, follows the text."""
-    own = numbered(docs, "_row")
-    chosen = select(own, number="_row", block_words=block_words, **options).where("size > 0").select(F.col("row").alias("_row"), F.col("passes").alias("_passes"), F.col("blocks").alias("_blocks"))
-    copies = F.sequence(F.when(F.col("_blocks").isNull(), 1).otherwise(0), F.col("_passes"))
-    taken = own.join(chosen, "_row").where("_passes > 0 or _blocks is not null").withColumn("_copy", F.explode(copies))
-    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), 0)
-    parts = F.transform("_blocks", lambda b: F.array_join(F.slice(words, b * block_words + 1, block_words), ""))
-    out = taken.withColumn("text", F.when(F.col("_copy") == 0, F.array_join(parts, "")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    own = in_struct(docs)
+    chosen = select(own.select("row", "own.doc_id", "own.source", "own.text"), number="row", block_words=block_words, **options).where("size > 0").select("row", "passes", "blocks")
+    copies = F.sequence(F.when(F.col("blocks").isNull(), 1).otherwise(0), F.col("passes"))
+    taken = own.join(chosen, "row").where("passes > 0 or blocks is not null").withColumn("copy", F.explode(copies))
+    words = F.regexp_extract_all("own.text", F.lit(WORD + r"[\x20\x09-\x0D]*"), 0)
+    parts = F.transform("blocks", lambda b: F.array_join(F.slice(words, b * block_words + 1, block_words), ""))
+    text = F.when(F.col("copy") == 0, F.array_join(parts, "")).otherwise(F.col("own.text"))
+    return with_text(taken, text, docs)

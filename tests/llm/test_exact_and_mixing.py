@@ -128,6 +128,53 @@ def test_mix_on_table(spark, sf):
 
 def test_quotas_by_hand(spark):
     """Votes 53, 24, 23 for seven seats: highest quotients give 3, 2, 2."""
-    parts = spark.createDataFrame([(0, "a", 53.0 * 7), (0, "b", 24.0 * 7), (0, "c", 23.0 * 7)], "shard int, source string, votes double")
+    parts = spark.createDataFrame([(0, "a", 53.0 * 7), (1, "b", 24.0 * 7), (2, "c", 23.0 * 7)], "turn long, source string, votes double")
     got = {r.source: r.quota for r in mixing.quotas(parts, 100).collect()}
     assert got == {"a": 3, "b": 2, "c": 2}
+
+
+def highest(votes, block):
+    """Seats to the highest quotients, one after the other; equal ones by turn."""
+    import heapq
+
+    seats = [0] * len(votes)
+    line = [(-v, i) for i, v in enumerate(votes) if v > 0]
+    heapq.heapify(line)
+    for _ in range(int(sum(votes) / block + 0.5)):
+        _, i = heapq.heappop(line)
+        seats[i] += 1
+        heapq.heappush(line, (-votes[i] / (2 * seats[i] + 1), i))
+    return seats
+
+
+@pytest.mark.parametrize("votes", [
+    [1_000_000.0] + [20.0] * 2_000, [640.0] * 300, [64.0 * k for k in range(1, 200)], [30.0] * 9, [5.0], [0.0, 0.0], [], [0.0, 1e6, 3.0, 64.0],
+])
+def test_quotas_equal_the_highest_quotients(spark, votes):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(votes)], "turn long, votes double")
+    got = {r.turn: r.quota for r in mixing.quotas(df, 64).collect()}
+    assert [got[i] for i in range(len(votes))] == highest(votes, 64)
+
+
+@pytest.mark.parametrize("shard_blocks", [100_000, 12])
+def test_thin_sources_get_their_target(docs_of, shard_blocks):
+    """Three hundred equal sources of 800 words, and one large one: each within about a block of its target."""
+    rows = [(k, "w " * 40, f"s{k % 300:03d}") for k in range(6_000)] + [(10_000 + k, "w " * 500, "large") for k in range(400)]
+    got = mixing.mix(docs_of(rows), shard_blocks=shard_blocks).collect()
+    source = {d: s for d, _, s in rows}
+    taken, target, size = defaultdict(int), {}, {}
+    for r in got:
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]], size[source[r.doc_id]] = r.target, r.source_size
+    for s in target:
+        shards = size[s] // (64 * shard_blocks) + 1
+        assert abs(taken[s] - target[s]) <= 64 * (1 + shards / 2) , s
+    assert abs(sum(taken.values()) - sum(target.values())) < 0.01 * sum(target.values())
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    rows = [(k, "alpha beta " * (k % 50 + 1), "s", 777 + k, "own", -1.5, k % 3) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row long, own string, `copy` double, _row int")
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    assert all((r["row"], r.own, r["copy"], r._row) == (777 + r.doc_id, "own", -1.5, r.doc_id % 3) for r in got.collect())
