@@ -50,12 +50,14 @@ def in_struct(docs: DataFrame) -> DataFrame:
     return materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")), "numbered")
 
 
-def with_text(rows: DataFrame, text: Column, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` from ``own``, with another text; ``n_chars``, where the table has it, follows the text."""
-    changed = {"text": text.cast(docs.schema["text"].dataType)}
+def with_text(rows: DataFrame, text: Column, docs: DataFrame, changed: Column | None = None) -> DataFrame:
+    """The columns of ``docs`` from ``own``, with another text where it ``changed``; ``n_chars``, where the table has it, follows the text."""
+    new = {"text": text.cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[changed.get(c, F.col("own")[c]).alias(c) for c in docs.columns])
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    if changed is not None:
+        new = {c: F.when(changed, x).otherwise(F.col("own")[c]) for c, x in new.items()}
+    return rows.select(*[new.get(c, F.col("own")[c]).alias(c) for c in docs.columns])
 
 
 def utf8(column: str = "text") -> Column:

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, lower_joined, materialize, mix, numbered, utf8, word_hashes
+from ..session import discard
+from .common import chunks, in_struct, lower_joined, materialize, mix, numbered, utf8, with_text, word_hashes
 from .graph import components
 from .near_copies import verify
 
@@ -157,7 +158,8 @@ def line_matches(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
     Equal sets are one representative, compared once; all pairs of representatives that match are found.
     """
-    lines, pairs = _linked(ordered(numbered(docs.select("doc_id", "text"))), plan, whole=True)
+    own = numbered(docs.select("doc_id", "text"))
+    lines, pairs = _linked(ordered(own), plan, whole=True, spent=own)
     sizes = materialize(lines.groupBy("x1", "x2").agg(F.min("id").alias("first"), F.count("*").alias("size")), "sizes")
     both = pairs.select(F.col("a").alias("first"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("first"), F.col("a").alias("other")))
     links = both.join(sizes.select(F.col("first").alias("other"), "size"), "other").groupBy("first").agg(F.sum("size").alias("others"))
@@ -175,15 +177,17 @@ def _earliest(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     return placed.select("first", "id", F.when(same, F.col("first")).otherwise(F.col("m.b")).alias("match"), F.when(same, F.lit(1.0)).otherwise(F.col("m.similarity")).alias("similarity"))
 
 
-def _linked(docs: DataFrame, plan: Plan, whole: bool) -> tuple[DataFrame, DataFrame]:
+def _linked(docs: DataFrame, plan: Plan, whole: bool, spent: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The lines of a written table (row, d, text), and a, b, similarity of representatives of equal sets that match, b before a.
 
     In every word's group a line is compared with the group's first, then with the others. Unless ``whole``, only
     lines without a match by then are compared with the others: that decides which lines have an earlier match, at about one
-    comparison for each of many near copies, but does not find all pairs.
+    comparison for each of many near copies, but does not find all pairs. Tables are deleted as soon as nothing reads them,
+    ``spent``, the table below ``docs``, as well.
     """
     lines = materialize(signed_lines(docs, plan), "lines")
-    reps = materialize(lines.groupBy("x1", "x2").agg(F.min_by(F.struct("id", "n", "bits", "words", "places"), "id").alias("s")).select("s.*").where(F.size("words") > 0), "representatives")
+    least = lines.groupBy("x1", "x2").agg(F.min_by(F.struct("id", "n", "bits", "words", "places"), "id").alias("s"))
+    reps = materialize(least.select("s.*").where(F.size("words") > 0), "representatives")
     entries = reps.select("id", "n", "bits", F.explode(F.arrays_zip("words", "places")).alias("e")).select("id", "n", "bits", F.col("e.words").alias("word"), F.col("e.places").alias("place"))
     group = W.partitionBy("word").orderBy("id")
     # column by column: a struct would be shuffled beside them
@@ -194,11 +198,17 @@ def _linked(docs: DataFrame, plan: Plan, whole: bool) -> tuple[DataFrame, DataFr
     entries = entries.withColumn("f", F.when(test & (F.col("f_id") != F.col("id")), F.col("f_id"))).where("f is not null or rank > 2 or not last").select("word", "id", "n", "place", "bits", "rank", "f")
     turn = F.pmod("word", F.lit(plan.slices))
     ranked = [materialize(entries.where(turn == k), "entries") for k in range(plan.slices)]
+    discard(reps)
     pairs = materialize(reduce(DataFrame.unionByName, [r.where("f is not null").select(F.col("id").alias("a"), F.col("f").alias("b")) for r in ranked]).distinct(), "pairs")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, spent: DataFrame | None = None) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        return materialize(verify(pairs, materialize(word_sets(docs, wanted), "sets"), plan.similarity), "matches")
+        sets = materialize(word_sets(docs, wanted), "sets")
+        if spent is not None:
+            discard(spent)
+        out = materialize(verify(pairs, sets, plan.similarity), "matches")
+        discard(sets)
+        return out
 
     first = verified(pairs)
     found = first.select(F.col("a").alias("id")).distinct().where(F.lit(not whole))
@@ -207,8 +217,10 @@ def _linked(docs: DataFrame, plan: Plan, whole: bool) -> tuple[DataFrame, DataFr
     for part in ranked:
         asking = part.where("rank > 2").drop("f", "rank").join(found, "id", "left_anti")
         other = part.select("word", F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("bits").alias("c"))
-        rest.append(materialize(asking.join(other, "word").where((F.col("b") < F.col("id")) & test).select(F.col("id").alias("a"), "b").distinct(), "pairs"))
-    rest = verified(materialize(reduce(DataFrame.unionByName, rest).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs"))
+        again = materialize(asking.join(other, "word").where((F.col("b") < F.col("id")) & test).select(F.col("id").alias("a"), "b").distinct(), "pairs")
+        discard(part)
+        rest.append(again)
+    rest = verified(materialize(reduce(DataFrame.unionByName, rest).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs"), spent)
     return lines, first.unionByName(rest)
 
 
@@ -228,14 +240,11 @@ def drop_matches(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     ``n_chars``, where the table has it, follows the new text. A document that loses all its lines with words goes;
     documents that had none stay as they are.
     """
-    own = numbered(docs, "_row")
-    matches = _earliest(*_linked(ordered(own.select(F.col("_row").alias("row"), "doc_id", "text")), plan, whole=False))
-    by_row = matches.groupBy(F.col("id.r").alias("_row")).agg(F.collect_list(F.when(F.col("match").isNotNull(), F.col("id.l"))).alias("_gone"), F.count("*").alias("_lines"))
-    lost = by_row.where(F.size("_gone") > 0)
-    joined = own.join(lost, "_row", "left").where("_gone is null or size(_gone) < _lines")
-    numbers = F.transform(F.split("text", "\n"), lambda x, k: F.struct(x.alias("x"), k.alias("k")))
-    left = F.transform(F.filter(numbers, lambda s: ~F.array_contains(F.col("_gone"), s["k"])), lambda s: s["x"])
-    out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.concat_ws("\n", left)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    own = in_struct(docs)
+    matches = _earliest(*_linked(ordered(own.select("row", "own.doc_id", "own.text")), plan, whole=False))
+    by_row = matches.groupBy(F.col("id.r").alias("row")).agg(F.collect_list(F.when(F.col("match").isNotNull(), F.col("id.l"))).alias("gone"), F.count("*").alias("lines"))
+    lost = by_row.where(F.size("gone") > 0)
+    joined = own.join(lost, "row", "left").where("gone is null or size(gone) < lines")
+    numbers = F.transform(F.split("own.text", "\n"), lambda x, k: F.struct(x.alias("x"), k.alias("k")))
+    left = F.transform(F.filter(numbers, lambda s: ~F.array_contains(F.col("gone"), s["k"])), lambda s: s["x"])
+    return with_text(joined, F.concat_ws("\n", left), docs, F.col("gone").isNotNull())

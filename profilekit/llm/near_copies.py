@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, lower_joined, materialize, mix, numbered, shingles, utf8, word_hashes
+from .common import chunks, in_struct, lower_joined, materialize, mix, numbered, shingles, utf8, word_hashes
 from .graph import components
 
 
@@ -213,6 +213,6 @@ def _by_id() -> Column:
 
 def keep_one(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """One document of each class, with all its columns."""
-    own = numbered(docs, "_row")
-    kept = _classes(own.select(F.col("_row").alias("row"), "doc_id", "text"), plan).where("kept").select(F.col("row").alias("_row"))
-    return own.join(kept, "_row", "left_semi").select(*docs.columns)
+    own = in_struct(docs)
+    kept = _classes(own.select("row", "own.doc_id", "own.text"), plan).where("kept").select("row")
+    return own.join(kept, "row", "left_semi").select("own.*")

@@ -32,7 +32,7 @@ def docs(spark, docs_of, tmp_path_factory):
 def test_scans_may_be_split_anew(spark, docs, monkeypatch, run):
     want, write, calls = found(run(docs)), session.materialize, []
 
-    def split_anew(df, name):
+    def split_anew(df, name, keep=False):
         out = write(df, name)
         calls.append(name)
         spark.conf.set(SPLIT, "4000")
