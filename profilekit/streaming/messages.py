@@ -86,7 +86,9 @@ def read_routed(spark: SparkSession, path: str) -> DataFrame:
 
 # --- sessions with state -----------------------------------------------------------------------------
 
-TURNS = "message_id bigint, user_id bigint, date timestamp_ntz, reset boolean, session_no bigint, turno bigint, tarde boolean"
+TURNS = "message_id bigint, user_id bigint, date timestamp_ntz, reset boolean, session_no bigint, turno bigint, tarde boolean, sin_id boolean"
+#: Stands for a missing id inside the state and its batches: a null would turn the other ids into rounded doubles. It sorts first, as nulls do.
+NO_ID = -(1 << 63)
 STATE = "session_no bigint, turno bigint, fecha bigint, mensaje bigint"
 
 
@@ -105,8 +107,8 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
     if len(dated) and (last is None or (at[dated[-1]], rows["message_id"][dated[-1]]) > (last, last_id)):
         last, last_id = int(at[dated[-1]]), int(rows["message_id"][dated[-1]])
     state.update((int(number.iloc[-1]), int(turno.iloc[-1]), last, last_id))
-    yield rows[["message_id", "date"]].assign(user_id=key[0], reset=reset, session_no=number, turno=turno, tarde=late)[
-        ["message_id", "user_id", "date", "reset", "session_no", "turno", "tarde"]
+    yield rows[["message_id", "date", "sin_id"]].assign(user_id=key[0], reset=reset, session_no=number, turno=turno, tarde=late)[
+        ["message_id", "user_id", "date", "reset", "session_no", "turno", "tarde", "sin_id"]
     ]
 
 
@@ -115,13 +117,16 @@ def session_turns(messages: DataFrame) -> DataFrame:
 
     Micro-batches are numbered as they arrive, in time order inside one. A message that comes after a later one of
     its user, or without a time, is marked ``tarde``; ``settled_turns`` numbers the users who have such messages anew.
+    Messages without an id are numbered as well, before others of the same time, and keep their null.
     """
-    return (
-        messages.select("message_id", "user_id", "date", "reset")
+    own = F.col("message_id").cast("bigint")
+    numbered = (
+        messages.select(F.coalesce(own, F.lit(NO_ID)).alias("message_id"), "user_id", "date", "reset", own.isNull().alias("sin_id"))
         .where(F.col("user_id").isNotNull())
         .groupBy("user_id")
         .applyInPandasWithState(_advance, TURNS, STATE, "append", GroupStateTimeout.NoTimeout)
     )
+    return numbered.withColumn("message_id", F.when(~F.col("sin_id"), F.col("message_id"))).drop("sin_id")
 
 
 def settled_turns(written: DataFrame) -> DataFrame:

@@ -85,6 +85,26 @@ def test_session_numbers_whatever_the_arrival(spark, log, folder, files, order):
     assert got == want
 
 
+@pytest.mark.parametrize("files", [1, 16])
+def test_sessions_keep_null_and_large_ids(spark, log, files):
+    """Ids beyond what doubles hold, and messages without an id, also as a user's latest one."""
+    big = F.lit(1152921504606846977) + F.col("message_id")
+    odd = log.withColumn("message_id", F.when(F.col("message_id") % 7 > 0, big))
+    source, path, checkpoint = (scratch_path(spark, n) for n in "abc")
+    # no two messages of one time and user without an id: their order would be open
+    odd = odd.where("message_id is not null").unionByName(odd.where("message_id is null").dropDuplicates(["user_id", "date"]))
+    for low, high in ((None, "2000-01-01"), ("1900-01-01", "2024-06-01"), ("2024-06-01", "2999-01-01")):
+        part = odd.where(F.col("date").isNull()) if low is None else odd.where(F.col("date").between(F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz")))
+        part.coalesce(1).write.mode("append").parquet(source)
+    kept = spark.read.schema(odd.schema).parquet(source)
+    finish(live.write_table(live.session_turns(live.read_files(spark, source, odd.schema, files_per_trigger=files)), path, checkpoint))
+    written = spark.read.parquet(path)
+    assert written.count() == kept.count() and written.where("message_id is null").count() == kept.where("message_id is null and user_id is not null").count() > 0
+    columns = ["message_id", "user_id", "session_no", "turno"]
+    got = sorted(map(tuple, live.settled_turns(written).select(columns).collect()), key=str)
+    assert got == sorted(map(tuple, sessions.turn_number(kept).select(columns).collect()), key=str)
+
+
 def test_state_survives_a_restart(spark, log):
     source, path, checkpoint = (scratch_path(spark, n) for n in "abc")
     for low, high in ((0, 400), (400, 10**9)):
