@@ -355,6 +355,47 @@ def gate_route(spark, sf):
     return tx.with_route(tx.with_gate(_messages(spark, sf))).select(*GATED.split(", "), "short_circuit")
 
 
+def _on_real_texts(where: str, view: str) -> None:
+    """All text rules over the whole texts of a table."""
+
+    @query(
+        f"text_flags_on_{where}",
+        duck(view) + f""", l as (select *, {q.low()} as low_ from {view})
+ select message_id, {q.voice()} as voz, {q.symbols('low_')} as simbolos, {q.sub('low_', tx.TURNS.jokes)} as broma, {q.word('low_', tx.ONLINE.finance)} as financiera,
+  {q.tokens('low_')}::int as palabras, {q.among('low_', tx.TURNS.menu)} as menu, {q.among('low_', tx.TURNS.yes_no)} as si_no,
+  {q.sub('lower(input)', fv.URGENCY)} as urgente, {q.sub('lower(input)', fv.FRUSTRATION)} as frustrado from l""",
+    )
+    def flags(spark, sf):
+        text, low = F.col("input"), tx.normal(F.col("input"))
+        return role(spark, sf, view).select(
+            "message_id", tx.is_voice_artifact(text).alias("voz"), tx.is_symbols(low).alias("simbolos"),
+            tx.has_substring(low, tx.TURNS.jokes).alias("broma"), tx.has_word(low, tx.ONLINE.finance).alias("financiera"),
+            tx.token_count(low).alias("palabras"), low.isin(*tx.TURNS.menu).alias("menu"), low.isin(*tx.TURNS.yes_no).alias("si_no"),
+            tx.has_urgency(text).alias("urgente"), tx.has_frustration(text).alias("frustrado"),
+        )
+
+    @query(
+        f"turn_labels_on_{where}",
+        duck(view) + f" select message_id, {q.intent()} as intent, {q.noise_label()} as label, noise_type, noise_score from ({q.turn_noise(view)})",
+        raw=True,
+    )
+    def labels(spark, sf):
+        noisy = tx.with_turn_noise(role(spark, sf, view))
+        return noisy.select("message_id", tx.intent(F.col("input")).alias("intent"), tx.noise_label(F.col("input")).alias("label"), "noise_type", "noise_score")
+
+    @query(
+        f"gate_route_on_{where}",
+        duck(view) + f" select {GATED}, gate and response_code is not null as short_circuit from ({q.gate(view)})",
+        raw=True,
+    )
+    def route(spark, sf):
+        return tx.with_route(tx.with_gate(role(spark, sf, view))).select(*GATED.split(", "), "short_circuit")
+
+
+_on_real_texts("conversations", "r_conversation_texts")
+_on_real_texts("documents", "r_document_texts")
+
+
 def _semantic(name: str, rules: tx.SemanticRules) -> None:
     scored = f" s as ({q.proto_scores('r_message_vectors', 'message_id, input')})"
     check = q.with_(q.PROTOS, scored, roles=["r_vectors", "r_message_vectors"])

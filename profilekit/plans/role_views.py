@@ -85,6 +85,12 @@ select e.event_id as message_id, e.user_id * 40 + k % 5 as conv_id, e.user_id, e
  case when k % 9 = 0 then 2 else 1 end as channel_source, k = 0 as reset
 from (select *, cast(regexp_extract(props, '[0-9]+', 0) as int) as k from {{events}}) e
 join (select * from (values {_values(MESSAGES)}) as v(i, msg)) m on e.event_id % {len(MESSAGES)} = m.i
+""",
+    "r_conversation_texts": """
+select conv_id * 100000 + turn as message_id, text as input from {conversations}
+""",
+    "r_document_texts": """
+select doc_id as message_id, text as input from {documents}
 """,
     "r_turns": """
 select conv_id, turn, conv_id % 30 as user_id, e.ts as date, input, output from (
