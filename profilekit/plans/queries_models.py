@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -251,13 +252,83 @@ def calibrated_scores(spark, sf):
 
 @query("propensity_scores")
 def propensity_scores(spark, sf):
-    df, trained = trained_run(spark, sf)
+    return propensity_scores_of(*trained_run(spark, sf))
+
+
+def propensity_scores_of(df: DataFrame, trained: propensity.PropensityModels) -> DataFrame:
     owned = list(trained.ensembles)
     scored = propensity.score_propensity(df, trained).join(df.select("user_id", *owned), "user_id")
     props = {f"prop_{t.removeprefix('tiene_')}": t for t in owned}
     return scored.withColumns({p: profiles.mask_owned(F.col(p), F.col(t)) for p, t in props.items()})
 
 
+# what must hold of trained models whatever their seeds: SQL states it from the tables
+HELD = q.with_(
+    q.PROD, " m as (select c.user_id, " + ", ".join(f"coalesce(tiene_{t}, 0) as tiene_{t}" for t in TYPES) + " from r_customers c left join prod p on p.user_id = c.user_id)",
+    roles=["r_products", "r_customers"],
+)
+
+
+@query(
+    "propensity_invariants",
+    HELD + " union all ".join(
+        f"select '{t}' as col_target, {q.r(f'avg({t})')} as tasa, count(*) as n_users, count(*) as n_in_range, sum({t})::bigint as n_owned, sum({t})::bigint as n_masked, 5::bigint as n_folds from m having avg({t}) between 0.03 and 0.97"
+        for t in MODELLED
+    ),
+)
+def propensity_invariants(spark, sf):
+    """Per modelled target: all users scored, between 0 and 1; owned products masked; an AUC between 0 and 1 for each fold."""
+    df, trained = trained_run(spark, sf)
+    masked = propensity_scores_of(df, trained)
+    raw = all_scores(df, trained).groupBy("col_target").agg(
+        F.avg("tiene").alias("tasa"), F.count("score").alias("n_users"), F.count_if(F.col("score").between(0, 1)).alias("n_in_range"), F.sum("tiene").alias("n_owned")
+    )
+    zeros = F.array(*[F.struct(F.lit(t).alias("col_target"), ((F.col(t) == 1) & (F.col(f"prop_{t.removeprefix('tiene_')}") == 0)).alias("_z")) for t in trained.ensembles])
+    hidden = masked.select(F.inline(zeros)).groupBy("col_target").agg(F.count_if("_z").alias("n_masked"))
+    folds = trained.folds.groupBy("col_target").agg(F.count_if(F.col("auc").between(0, 1)).alias("n_folds"))
+    return raw.join(hidden, "col_target").join(folds, "col_target")
+
+
+@query(
+    "propensity_folds",
+    HELD + ", k as (" + " union all ".join(f"select '{t}' as col_target, {t}::int as tiene, count(*) as n from m group by {t}" for t in MODELLED) + """),
+ s as (select *, ceil(0.2::double * n)::bigint as t from k), f as (select unnest(range(5))::int as fold)
+ select col_target, tiene, 'cruzada' as sistema, fold, (n - fold + 4) // 5 as n from s, f where n > fold
+ union all select col_target, tiene, 'interna', fold, (n - t - fold + 4) // 5 from s, f where n - t > fold
+ union all select col_target, tiene, 'interna', -2, t from s""",
+)
+def propensity_folds(spark, sf):
+    """Sizes of all folds and of the test part (-2) per target and label."""
+    df, params = written_master(spark, sf), propensity.TreeParams()
+    owned = df.select("user_id", *[F.col(t).cast("int").alias(t) for t in MODELLED])
+    both = owned.join(propensity.fold_table(owned, list(MODELLED), params), "user_id")
+    places = [
+        F.struct(F.lit(t).alias("col_target"), F.col(t).alias("tiene"), F.lit(name).alias("sistema"), F.col("folds")[2 * i + system].cast("int").alias("fold"))
+        for i, t in enumerate(MODELLED) for system, name in enumerate(("cruzada", "interna"))
+    ]
+    return both.select(F.inline(F.array(*places))).groupBy("col_target", "tiene", "sistema", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "segment_invariants",
+    duck("r_customers") + " select count(*) as n_users, 6::bigint as n_segments, count(*) as n_nearest, true as sizes_fall, true as cost_holds from r_customers",
+)
+def segment_invariants(spark, sf):
+    """Every user lies in the segment of the nearest centre, ids go by falling size, and the cost is the sum of squared distances."""
+    df = written_master(spark, sf)
+    fitted = segments.Segmentation.fit(df, RULES)
+    z = fitted.scaler.vectors(fitted.transform(df), ["user_id", "segmento_id"]).select("user_id", "segmento_id", vector_to_array("features").alias("x"))
+    far = F.array(*[F.aggregate(F.zip_with("x", F.lit(c.tolist()), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) for c in fitted.centres])
+    own = z.select("user_id", "segmento_id", far.alias("far"))
+    sizes = own.groupBy("segmento_id").agg(F.count(F.lit(1)).alias("n"))
+    falls = sizes.withColumn("_next", F.lead("n").over(Window.orderBy("segmento_id"))).agg(F.min(F.coalesce(F.col("_next") <= F.col("n"), F.lit(True))).alias("sizes_fall"))
+    near = own.agg(
+        F.count(F.lit(1)).alias("n_users"), F.countDistinct("segmento_id").alias("n_segments"),
+        F.count_if(F.get("far", F.col("segmento_id")) <= F.array_min("far") + 1e-9).alias("n_nearest"), F.sum(F.array_min("far")).alias("_cost"),
+    )
+    return near.join(falls).select("n_users", "n_segments", "n_nearest", "sizes_fall", (F.abs(F.col("_cost") / fitted.cost - 1) < 1e-3).alias("cost_holds"))
+
+
 # --- I vectors -----------------------------------------------------------------------------------------
 
 
