@@ -42,7 +42,8 @@ class RetrievalJob:
         return self._stage(vectors.index_metadata(vectors.dense_index(turns, tie, ("user_id", vec))), "indice")
 
     def sparse(self, turns: DataFrame, tie: str = "turn") -> tuple[tfidf.TfidfModel, DataFrame, DataFrame]:
-        """TF-IDF model, corpus and its written matrix rows."""
+        """TF-IDF model (saved for later sessions), corpus and its written matrix rows."""
         corpus = self._stage(vectors.first_turns(tables.corpus(turns), ["input", "output"], tie), "corpus")
         model = tfidf.TfidfModel.fit(corpus, "conv_id", "input")
+        model.save(f"{self.out}/tfidf")
         return model, corpus, self._stage(model.rows(corpus, "conv_id", "input"), "corpus_filas")

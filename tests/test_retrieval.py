@@ -204,11 +204,39 @@ def test_tfidf_topk_by_hand_and_unknown_words(spark):
     assert got == want and 11 not in got
 
 
-def test_postings_shuffle_the_text_once(spark):
+def test_rows_and_texts_are_not_shuffled(spark):
     docs = spark.createDataFrame(DOCS, "doc_id bigint, text string")
     model = tfidf.TfidfModel.fit(docs, "doc_id", "text")
-    plan = model.postings(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    plan = model.rows(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    totals = tfidf.term_totals(docs, "text")._jdf.queryExecution().executedPlan().toString()
+    assert totals.count("Exchange hashpartitioning(term") == 1 and "text" not in totals[totals.index("MapInArrow") :].split("\n")[0]
+
+
+@pytest.mark.parametrize("slice_tokens", [1 << 20, 3])
+def test_slices_and_odd_texts(spark, monkeypatch, slice_tokens):
+    """Null, empty and wordless texts have no row; a long text and repeated words are counted whole, whatever the slices."""
+    monkeypatch.setattr(tfidf, "SLICE_TOKENS", slice_tokens)
+    texts = [(1, None), (2, ""), (3, "a . b"), (4, "uno dos " * 500), (5, "dos uno uno"), (5, "uno")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    totals = {r.term: (r.total, r.df) for r in tfidf.term_totals(docs, "text").collect()}
+    assert totals == {"uno": (503, 3), "dos": (501, 2), "uno dos": (500, 1), "dos uno": (500, 2), "uno uno": (1, 1)}
+    model = tfidf.TfidfModel.fit(docs, "doc_id", "text")
+    rows = model.rows(docs, "doc_id", "text").collect()
+    assert sorted(r.d for r in rows) == [4, 5, 5]
+    assert all(sum(x * x for x in r.w) == pytest.approx(1) and list(r.t) == sorted(r.t) for r in rows)
+    none = tfidf.TfidfModel.fit(docs.limit(0), "doc_id", "text")
+    assert none.n_docs == 0 and none.rows(docs, "doc_id", "text").count() == 0
+
+
+def test_model_is_used_in_another_session(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id bigint, text string")
+    model, path = tfidf.TfidfModel.fit(docs, "doc_id", "text", 6), scratch_path(spark, "tfidf")
+    model.save(path)
+    again = tfidf.TfidfModel.load(spark.newSession(), path)
+    assert (again.n_docs, again.max_terms) == (len(DOCS), 6)
+    rows = lambda m: sorted((r.d, tuple(r.t), tuple(r.w)) for r in m.rows(docs, "doc_id", "text").collect())
+    assert rows(again) == rows(model)
 
 
 def test_context_text(spark):
