@@ -1,7 +1,5 @@
 """Text rules on literal rows, column by column."""
 
-import re
-
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +7,7 @@ from pyspark.sql import functions as F
 from profilekit.functions import fixed_values as fv
 from profilekit.functions import sql as sql_functions
 from profilekit.functions import text as tx
+from profilekit.functions import values
 from profilekit.plans.role_views import MESSAGES
 
 EXTRA = [" hola mundo ", "aaa  bbb  ccc", "aa  bb  cc", "\tok\n", "CRÉDITO", "Ñ", "a", "9", "...", "jaja ok cuéntame un chiste"]
@@ -66,26 +65,18 @@ def test_label_puts_voice_first_and_null_is_noise(messages):
     assert {i: got[i][0] for i in want} == want
 
 
-def test_patterns_equal_python_regex(messages):
-    """Unicode word runs, whole words and voice runs as Python's ``re`` sees them."""
-    got = by_id(
-        messages.select(
-            "id",
-            tx.normal(F.col("input")).alias("low"),
-            tx.token_count(tx.normal(F.col("input"))).alias("n"),
-            tx.has_word(tx.normal(F.col("input")), fv.FINANCE).alias("fin"),
-            tx.is_voice_artifact(F.col("input")).alias("voice"),
-        ),
-        "low", "n", "fin", "voice",
-    )
-    for i, t in enumerate(TEXTS):
-        if t is None:
-            assert got[i] == (None, None, None, None)
-            continue
-        low = t.lower().strip()
-        fin = any(re.search(r"\b" + re.escape(w) + r"\b", low) for w in fv.FINANCE)
-        voice = bool(re.search(r"\w{3,}\s{2,}\w{3,}\s{2,}\w{3,}", t))
-        assert got[i] == (low, len(re.findall(r"\w+", low)), fin, voice)
+def test_words_finance_and_voice_on_literal_texts(spark):
+    """Lower case and trimmed text, number of words, a finance word, a voice artefact."""
+    want = {
+        "Hola": ("hola", 1, False, False), " hola mundo ": ("hola mundo", 2, False, False), "aaa  bbb  ccc": ("aaa  bbb  ccc", 3, False, True),
+        "aa  bb  cc": ("aa  bb  cc", 3, False, False), "aaa  bbb ccc": ("aaa  bbb ccc", 3, False, False), "\tok\n": ("ok", 1, False, False),
+        "CRÉDITO": ("crédito", 1, True, False), "mi crédito, por favor": ("mi crédito, por favor", 4, True, False), "Ñandú 9": ("ñandú 9", 2, False, False),
+        "...": ("...", 0, False, False), "": ("", 0, False, False), "año  que  viene": ("año  que  viene", 3, False, True), None: (None, None, None, None),
+    }
+    low = tx.normal(F.col("input"))
+    df = spark.createDataFrame([(t,) for t in want], "input string")
+    rows = df.select("input", low.alias("low"), tx.token_count(low).alias("n"), tx.has_word(low, fv.FINANCE).alias("fin"), tx.is_voice_artifact(F.col("input")).alias("voice")).collect()
+    assert {r.input: tuple(r)[1:] for r in rows} == want
 
 
 @pytest.mark.parametrize(
@@ -131,6 +122,29 @@ def test_sql_functions_equal_columns(spark, messages):
     assert by_id(sql, "i", "l", "n", "t") == by_id(col, "i", "l", "n", "t")
 
 
+def test_sql_noise_gate_and_keys_equal_columns(spark, messages):
+    sql_functions.register(spark)
+    names = ["noise_type", "noise_score"]
+    want = by_id(tx.with_turn_noise(messages), *names)
+    assert by_id(messages.selectExpr("id", *[f"pk_{n}(input) as {n}" for n in names]), *names) == want
+    gated = tx.with_route(tx.with_gate(messages))
+    sql = messages.selectExpr("id", *[f"pk_{n}(input) as {n}" for n in ("gate", "gate_type", "gate_score", "response_code", "short_circuit")])
+    assert by_id(sql, "gate", "gate_type", "gate_score", "response_code", "short_circuit") == by_id(gated, "gate", "noise_type", "noise_score", "response_code", "short_circuit")
+    flags = messages.selectExpr("id", "pk_has_urgency(input) u", "pk_has_frustration(input) f")
+    assert by_id(flags, "u", "f") == by_id(messages.select("id", tx.has_urgency(F.col("input")).alias("u"), tx.has_frustration(F.col("input")).alias("f")), "u", "f")
+    keys = spark.createDataFrame([("  Corta (2 frases)",), ("Media larga (x)",), (None,)], "t string")
+    assert [r[0] for r in keys.selectExpr("pk_dim_key(t)").collect()] == ["corta", "media", None]
+
+
+def test_sql_casts_never_fail(spark):
+    sql_functions.register(spark)
+    texts = ["3", "2.9", "-2.9", " 7 ", "x", "", None, "NaN", "Infinity", "-Infinity", "1e30", "0", "0.4"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    columns = df.select(values.safe_double(F.col("t")), values.safe_int(F.col("t")), values.safe_bool(F.col("t"))).collect()
+    got = df.selectExpr("pk_safe_double(t)", "pk_safe_int(t)", "pk_safe_bool(t)").collect()
+    assert [str(tuple(r)) for r in got] == [str(tuple(r)) for r in columns]
+
+
 def test_encoder_hook(messages):
     df = sql_functions.with_embedding(messages, lambda texts: [[float(len(t)), 1.0] for t in texts])
     got = by_id(df, "embedding")
