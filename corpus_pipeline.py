@@ -12,8 +12,7 @@ from profilekit.session import discard, temporary
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the co-trained classifier rejects; it is fitted on ``labels``."""
-    with temporary(spark):
-        return materialize(cotraining.keep_good(docs, read(spark, sf_dir, "labels")), "good", keep=True)
+    return cotraining.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source's target of words: whole documents, once or twice, and blocks of others."""
-    with temporary(spark):
-        return materialize(mixing.mixed_documents(docs), "mixed", keep=True)
+    return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +37,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_file())
 
 
-#: In this order. Every stage takes all its predecessor kept; all but the last return the columns of documents, as a
-#: table of its own: what a stage wrote besides is deleted when it returns.
+#: In this order. Every stage takes all its predecessor kept; all but the last return the columns of documents. The two
+#: stages that write large working tables return a table of its own and delete the others.
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
 
 
@@ -51,7 +49,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         with temporary(spark):
             result = stage(spark, docs, sf_dir)
             docs = materialize(result, name, keep=True)
-        discard(result)
+        if name in ("lines", "near_duplicates"):
+            discard(result)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
