@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -31,6 +31,8 @@ SPELT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\[at\]|\(at\)|\x20a
 BASE = {"email": (EMAIL, "@"), "ip": (IP, r"[0-9]\.[0-9]"), "card": (CARD, r"(?:[0-9][\x20-]?){13}"), "phone": (PHONE, r"\+[0-9]")}
 WIDE = {"number": (NUMBER, r"(?:[0-9][\x20().-]{0,2}){7}"), "spelt": (SPELT, r"dot(?:\]|\)|\x20)")}
 CONTEXT_CHARS = 32
+#: A match has two characters or more, so this many before one hold its context.
+CONTEXT_MATCHES = CONTEXT_CHARS // 2
 
 #: Gazetteers: words that go with personal numbers, words that go with others, starts of card numbers, endings of hosts.
 PERSONAL_WORDS = ("tel", "phone", "call", "mobile", "fax", "card", "visa", "credit", "contact", "mail", "whatsapp", "telefon", "handy", "karte", "appel", "carte", "telefono", "tarjeta", "llame", "correo")
@@ -45,19 +47,19 @@ ROUNDS = 50
 ACCEPT = 0.9
 
 
-def found(text: Column, pattern: str, needs: str) -> Column:
-    """array<struct<start, end, match>> in code points: matches, and the lengths of what lies between them."""
-    tried = F.when(text.contains(needs) if needs == "@" else text.rlike(needs), text).otherwise(F.lit(""))
-    matches, between = F.regexp_extract_all(tried, F.lit(pattern), 0), F.split(tried, pattern, -1)
-    pairs = F.arrays_zip(matches.alias("m"), F.slice(between, 1, F.size(matches)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+def tried(text: Column, needs: str) -> Column:
+    return F.when(text.contains(needs) if needs == "@" else text.rlike(needs), text).otherwise(F.lit(""))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["g"])
-        end = begin + F.length(p["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), p["m"].alias("match")))).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+def found(kind: str, matches: Column, between: Column) -> Column:
+    """array of a pattern's matches in order, with the length and the last characters of the text since the last match, and the next character."""
+    n = F.size(matches)
+    pairs = F.arrays_zip(F.slice(between, 1, n).alias("g"), matches.alias("m"), F.slice(between, 2, n).alias("h"), F.slice(matches, 2, n).alias("n"))
+    near = lambda x: F.right(x, F.lit(CONTEXT_CHARS))
+    return F.transform(pairs, lambda p, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("pos"), F.length(p["g"]).alias("gap"), p["m"].alias("match"), near(p["g"]).alias("tail"), near(F.concat(near(p["g"]), near(p["m"]))).alias("behind"),
+        F.coalesce(F.left(F.when(p["h"] != "", p["h"]).otherwise(p["n"]), F.lit(1)), F.lit("")).alias("after"),
+    ))
 
 
 def digits(x: Column) -> Column:
@@ -88,30 +90,41 @@ def valid(kind: str, match: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """row, doc_id, and arrays of (kind, start, end, match, before, after): ``base`` and ``wide``."""
-    text = F.col("text")
+    """row, doc_id, and ``found``: the raw matches of all patterns."""
     table = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    table = table.withColumns({f"_{k}": found(text, *v) for k, v in {**BASE, **WIDE}.items()})
+    patterns = {**BASE, **WIDE}
+    table = table.withColumns({f"_t_{k}": tried(F.col("text"), needs) for k, (_, needs) in patterns.items()})
+    table = table.withColumns({f"_m_{k}": F.regexp_extract_all(f"_t_{k}", F.lit(p), 0) for k, (p, _) in patterns.items()} | {f"_b_{k}": F.split(f"_t_{k}", p, -1) for k, (p, _) in patterns.items()})
+    return table.select("row", "doc_id", F.concat(*[found(k, F.col(f"_m_{k}"), F.col(f"_b_{k}")) for k in patterns]).alias("found"))
 
-    def dressed(kind: Column | str, array: str) -> Column:
-        def one(x: Column) -> Column:
-            near = F.least(x["start"], F.lit(CONTEXT_CHARS))
-            return F.struct(
-                (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"),
-                F.lower(text.substr(x["start"] - near + 1, near)).alias("before"), text.substr(x["end"] + 1, F.lit(1)).alias("after"),
-            )
 
-        return F.transform(array, one)
+def spans_of(held: DataFrame) -> DataFrame:
+    """row, proposed, kind, start, end, match, before, after: base spans, and proposals that overlap none of their row.
 
-    table = table.withColumns({f"_{k}": dressed(k, f"_{k}") for k in [*BASE, *WIDE]})
-
-    def passing(kind: str) -> Column:
-        return F.filter(f"_{kind}", lambda x: valid(kind, x["match"]))
-
-    table = table.withColumn("base", F.concat(*map(passing, BASE)))
-    free = F.filter(F.concat("_number", "_spelt"), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    named = F.transform(free, lambda c: c.withField("kind", F.when(c["kind"] == "spelt", "email").when(F.length(digits(c["match"])) >= 13, "card").otherwise("phone")))
-    return table.select("row", "doc_id", "base", named.alias("wide"))
+    Positions are running sums over a row's matches, and two passes over its spans by start, one each way, tell which overlap: a text costs
+    as much as sorting its matches, and only matches with their surroundings are shuffled.
+    """
+    raw = held.select("row", F.explode("found").alias("x")).select("row", "x.*").repartition("row")
+    order = Window.partitionBy("row", "kind").orderBy("pos")
+    end = F.sum(F.col("gap") + F.length("match")).over(order)
+    before = F.concat_ws("", F.collect_list("behind").over(order.rowsBetween(-CONTEXT_MATCHES, -1)), F.col("tail"))
+    placed = raw.select(
+        "row", F.col("kind").isin(*WIDE).alias("proposed"), "kind", (end - F.length("match")).cast("int").alias("start"), end.cast("int").alias("end"), "match",
+        F.lower(F.right(before, F.lit(CONTEXT_CHARS))).alias("before"), "after",
+    )
+    good = F.lit(False)
+    for kind in BASE:
+        good = F.when(F.col("kind") == kind, valid(kind, F.col("match"))).otherwise(good)
+    kept = placed.where(F.col("proposed") | good)
+    forth = Window.partitionBy("row").orderBy("start", "proposed").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("proposed")).rowsBetween(Window.unboundedPreceding, 0)
+    reach, limit = F.max(F.when(~F.col("proposed"), F.col("end"))).over(forth), F.min(F.when(~F.col("proposed"), F.col("start"))).over(back)
+    free = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("end") <= F.col("limit"), F.lit(True))
+    named = F.when(F.col("kind") == "spelt", "email").when(F.length(digits(F.col("match"))) >= 13, "card").otherwise("phone")
+    return (
+        kept.withColumns({"reach": reach, "limit": limit}).where(~F.col("proposed") | free).drop("reach", "limit")
+        .withColumn("kind", F.when(F.col("proposed"), named).otherwise(F.col("kind")))
+    )
 
 
 def votes(spans: DataFrame) -> DataFrame:
@@ -200,14 +213,13 @@ def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     handled each; other columns are ignored. An empty table gives an empty one.
     """
     held = materialize(candidates(docs), "candidates")
-    pool = held.select("row", F.explode("base").alias("s"), F.lit(False).alias("proposed")).unionByName(
-        held.select("row", F.explode("wide").alias("s"), F.lit(True).alias("proposed"))
-    ).select("row", "proposed", "s.*")
-    number = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k)
-    added = classify(pool, accept).groupBy("row").agg(F.collect_list(F.struct(number(F.col("kind")).alias("kind"), "start", "end")).alias("added"))
+    spans = materialize(spans_of(held), "spans")
+    number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    both = spans.where(~F.col("proposed")).select("row", "proposed", "kind", "start", "end").unionByName(classify(spans, accept).withColumn("proposed", F.lit(True)))
+    span = F.struct(number.alias("kind"), "start", "end")
+    listed = both.groupBy("row").agg(*[F.sort_array(F.collect_list(F.when(F.col("proposed") == flag, span))).alias(name) for name, flag in (("base", False), ("added", True))])
     none = F.array().cast("array<struct<kind:bigint,start:int,end:int>>")
-    base = F.sort_array(F.transform("base", lambda x: F.struct(number(x["kind"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
-    return held.join(added, "row", "left").select("doc_id", base.alias("base"), F.sort_array(F.coalesce("added", none)).alias("added"))
+    return held.select("row", "doc_id").join(listed, "row", "left").select("doc_id", *[F.coalesce(c, none).alias(c) for c in ("base", "added")])
 
 
 def digest(spans: DataFrame) -> DataFrame:

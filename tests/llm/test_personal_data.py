@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -60,6 +61,29 @@ def test_base_spans(docs_of):
     check(rows, got(docs_of(rows)))
 
 
+def test_spans_and_surroundings(docs_of):
+    """Every span's text and surroundings are those at its place; no proposal overlaps a base span of its row."""
+    texts = [t or "" for t in TEXTS] + [" ".join(f"+1 (499) 555-{k % 9000 + 1000} 030 555-{k % 9000 + 1000}," for k in range(3000)), "11,22,3344 5566 7788 9900 112,é😄0305551234x 030 555 1234"]
+    held = pd.materialize(pd.candidates(docs_of(list(enumerate(texts)))), "held")
+    rows = pd.spans_of(held).join(held.select("row", "doc_id"), "row").collect()
+    taken = {}
+    for r in rows:
+        t = texts[r.doc_id]
+        assert r.match == t[r.start : r.end] and r.before == t[max(0, r.start - pd.CONTEXT_CHARS) : r.start].lower() and r.after == t[r.end : r.end + 1]
+        if not r.proposed:
+            taken.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    assert all(not taken.get(r.doc_id, set()) & set(range(r.start, r.end)) for r in rows if r.proposed)
+    assert sum(r.proposed for r in rows) > 3000 and sum(not r.proposed for r in rows) > 3000
+
+
+def test_many_matches_in_one_text(docs_of):
+    """Cost follows the number of matches, not its square: 100,000 of them in one text end within minutes."""
+    text = " ".join(f"+1 (499) 555-{k % 9000 + 1000} call 030 555-{k % 9000 + 1000}" for k in range(50_000))
+    begin = time.monotonic()
+    check([(1, text)], got(docs_of([(1, text)])))
+    assert time.monotonic() - begin < 180
+
+
 @settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text(alphabet="a1@.+- (é4", max_size=40), min_size=40, max_size=40))
 def test_base_spans_on_any_text(docs_of, texts):
