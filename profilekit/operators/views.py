@@ -274,5 +274,20 @@ def agent_context(df: DataFrame, template: str, out: str = "contexto") -> DataFr
     return df.withColumn(out, F.concat(*pieces, F.lit(rest)))
 
 
+def turn_contexts(
+    turns: DataFrame, users: DataFrame, blocks: DataFrame, template: str, turn_id: str = "message_id",
+    block: str = "contexto", out: str = "contexto",
+) -> DataFrame:
+    """One prompt-ready text per turn: ``users`` (one row per ``user_id``) and the examples retrieved for the turn fill the template.
+
+    ``blocks`` has one row per turn with hits, as ``retrieval_context`` makes them; its text goes to the place ``{ejemplos}``.
+    Turns without hits, without a user or of an unknown user stay, and their places become empty text. Texts are put in once, so braces
+    in them are left alone.
+    """
+    found = blocks.select(turn_id, F.col(block).alias("ejemplos"))
+    joined = turns.select(turn_id, "user_id").join(users, "user_id", "left").join(found, turn_id, "left")
+    return agent_context(joined, template, out).select(turn_id, "user_id", out)
+
+
 def tenure_years(days: Column) -> Column:
     return F.floor(safe_int(days) / 365)

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..operators import clean, measures, model_runs, profiles, propensity, segments, tfidf, vectors
+from ..operators import clean, measures, model_runs, profiles, propensity, segments, tfidf, vectors, views
 from ..session import materialize, scratch_path
 from . import checks as q
+from . import queries_users as users
 from .queries_users import master_table, TYPES, replied  # noqa: F401
 from .registry import query
 from .role_views import duck, role
@@ -511,3 +512,29 @@ def retrieval_context(spark, sf):
         "input", F.concat(F.lit("vector "), F.col("doc_id").cast("string"))
     )
     return vectors.retrieval_context(hits, "mensaje", heading="Ejemplos\n", with_similarity=True)
+
+
+TURN_TEMPLATE = users.TEMPLATE + "\nLargo: {largo}. Emojis: {emoji}. Urgencia: {urgente}\n{ejemplos}"
+
+
+@query(
+    "turn_agent_context",
+    q.with_(
+        q.CUST, q.TXN, q.PROD, q.CONV, users.MASTER_CTE, users.TOP, users.DIMS_CTE, users.PROFILES_CTE, users.STYLES, f"ins as ({users.INSTRUCTIONS})", DENSE, q.topk("vp", MIN_SIM),
+        f"""lists as (select *, list_filter([case when noise_score_usuario >= 0.4::double then 'noise' end, case when flag_credito_estresado = 1 then 'estresado' end,
+  case when flag_riesgo_churn = 1 then 'churn' end, case when flag_uso_atipico = 1 then 'atipico' end, case when conv_frustracion >= 2 then 'frustracion' end], lambda x: x is not null) as al,
+  list_filter([producto_top_1, producto_top_2, producto_top_3], lambda x: x <> '') as l from prf)""",
+        f"""known as (select user_id, ' (' || coalesce(segmento_nombre, '') || '), ingreso $' || format('{{:,}}', round(ingreso_mensual_mxn)::bigint) || ', ' || (antiguedad_dias // 365) || ' anios, tono ' || coalesce(tono, '')
+  || chr(10) || 'Alertas: ' || case when len(al) = 0 then 'ok' else array_to_string(al, ',') end || chr(10) || 'Productos:' || chr(10) || {users.RECOMMENDED}
+  || chr(10) || 'Largo: ' || largo || '. Emojis: ' || emoji || '. Urgencia: ' || urgente as body from lists join ins using (user_id))""",
+        """blocks as (select q as message_id, 'Ejemplos' || chr(10) || string_agg('Ejemplo ' || rn || ' (' || round(similitud * 100)::int || '%):' || chr(10) || 'Pregunta: vector ' || d || chr(10) || 'Respuesta: ' || output || chr(10), chr(10) order by rn) as ejemplos from hits group by q)""",
+        roles=["r_customers", "r_transactions", "r_products", "r_messages", "r_propensity", "r_vectors"],
+    )
+    + """select message_id, user_id, 'Cliente ' || coalesce(user_id::varchar, '')
+  || coalesce(body, ' (), ingreso ,  anios, tono ' || chr(10) || 'Alertas: ' || chr(10) || 'Productos:' || chr(10) || chr(10) || 'Largo: . Emojis: . Urgencia: ') || chr(10) || coalesce(ejemplos, '') as contexto
+ from r_messages left join known using (user_id) left join blocks using (message_id)""",
+)
+def turn_agent_context(spark, sf):
+    known = users.agent_users(spark, sf).join(users.instructions(spark, sf), "user_id")
+    blocks = retrieval_context(spark, sf).withColumnRenamed("mensaje", "message_id")
+    return views.turn_contexts(role(spark, sf, "r_messages"), known, blocks, TURN_TEMPLATE)

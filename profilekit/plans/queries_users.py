@@ -534,14 +534,18 @@ def active_alerts(spark, sf):
 STYLE = "case c_custkey % 4 when 0 then 'Corta (2 frases)' when 1 then 'media' when 2 then ' LARGA y mas' else null end as longitud, case c_custkey % 5 when 0 then 'Nunca' when 1 then 'frecuente (2)' else 'otro' end as emojis, case c_custkey % 3 when 0 then 'Inmediata (1)' when 1 then 'formal seria' else 'Formal' end as urgencia"
 
 
-@query(
-    "instruction_lookup",
-    f"""with x as (select c_custkey as user_id, {STYLE} from customer)
- select user_id, case lower(split_part(trim(split_part(longitud, '(', 1)), ' ', 1)) when 'corta' then 'dos frases' when 'larga' then 'sin limite' else 'cuatro frases' end as largo,
+INSTRUCTIONS = f"""select user_id, case lower(split_part(trim(split_part(longitud, '(', 1)), ' ', 1)) when 'corta' then 'dos frases' when 'larga' then 'sin limite' else 'cuatro frases' end as largo,
   case lower(split_part(trim(split_part(emojis, '(', 1)), ' ', 1)) when 'nunca' then 'sin emojis' when 'frecuente' then 'con emojis' else 'un emoji' end as emoji,
-  case lower(trim(split_part(urgencia, '(', 1))) when 'inmediata' then 'resolver ya' when 'formal' then 'con datos' else 'validar' end as urgente from x""",
-)
+  case lower(trim(split_part(urgencia, '(', 1))) when 'inmediata' then 'resolver ya' when 'formal' then 'con datos' else 'validar' end as urgente from sty"""
+STYLES = f"sty as (select c_custkey as user_id, {STYLE} from customer)"
+
+
+@query("instruction_lookup", f"with {STYLES} {INSTRUCTIONS}")
 def instruction_lookup(spark, sf):
+    return instructions(spark, sf)
+
+
+def instructions(spark, sf) -> DataFrame:
     df = spark.sql(f"select c_custkey as user_id, {STYLE} from {{c}}", c=spark.read.parquet(f"{sf}/customer.parquet"))
     return df.select(
         "user_id",
@@ -577,13 +581,18 @@ TEMPLATE = "Cliente {user_id} ({segmento_nombre}), ingreso {ingreso}, {anios} an
   || chr(10) || 'Alertas: ' || case when len(al) = 0 then 'ok' else array_to_string(al, ',') end || chr(10) || 'Productos:' || chr(10) || {RECOMMENDED} as contexto from x""",
 )
 def agent_context(spark, sf):
+    return views.agent_context(agent_users(spark, sf), TEMPLATE).select("user_id", "contexto")
+
+
+def agent_users(spark, sf) -> DataFrame:
+    """The profiles with the columns that the template names."""
     df = full_profiles(spark, sf)
     codes = views.active_alerts(
         F.col("noise_score_usuario"), F.col("flag_credito_estresado"), F.col("flag_riesgo_churn"),
         F.col("flag_uso_atipico"), F.col("conv_frustracion"),
     )
     tops = [F.col(f"producto_top_{i}") for i in (1, 2, 3)]
-    filled = df.withColumns(
+    return df.withColumns(
         {
             "ingreso": v.currency(F.col("ingreso_mensual_mxn")),
             "anios": views.tenure_years(F.col("antiguedad_dias")),
@@ -591,4 +600,3 @@ def agent_context(spark, sf):
             "recomendados": views.recommendation_text(tops),
         }
     )
-    return views.agent_context(filled, TEMPLATE).select("user_id", "contexto")

@@ -81,6 +81,16 @@ def test_agent_context_template(spark):
     assert views.agent_context(df, "{a}-{b}-{c}!").first().contexto == "1--x!"
 
 
+def test_turn_contexts(spark):
+    """Turns without hits, without a user or of an unknown user stay; braces in texts are not places; extra columns of turns do no harm."""
+    turns = spark.createDataFrame([(1, 7, "t"), (2, 7, "t"), (3, 8, "t"), (4, None, "t")], "message_id long, user_id long, nombre string")
+    users = spark.createDataFrame([(7, "Ana {ejemplos}")], "user_id long, nombre string")
+    blocks = spark.createDataFrame([(1, "E1 {nombre}"), (4, "E4")], "message_id long, contexto string")
+    got = views.turn_contexts(turns, users, blocks, "{user_id}|{nombre}|{ejemplos}").collect()
+    assert {r.message_id: r.contexto for r in got} == {1: "7|Ana {ejemplos}|E1 {nombre}", 2: "7|Ana {ejemplos}|", 3: "8||", 4: "||E4"}
+    assert views.turn_contexts(turns.limit(0), users, blocks, "{nombre}").count() == 0
+
+
 def test_segment_summary_order_and_missing_name(spark):
     df = spark.createDataFrame(
         [(3, "A", "t3", None), (1, "A", None, 0.5), (2, None, "t2", 0.25), (4, "B", "t4", None)],
