@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..operators import clean, features, master, model_runs, profiles, propensity, segments, views
+from ..operators import clean, features, master, measures, model_runs, profiles, propensity, segments, views
+from ..session import materialize, temporary
 from ..sources import tables
 
 
@@ -28,6 +30,10 @@ class ProfileJob:
     params: propensity.TreeParams = propensity.TreeParams()
     clusters: int = 6
     restarts: int = 15
+    sweep: Sequence[int] = tuple(range(2, 8))
+    sweep_restarts: int = 10
+    silhouette_rows: int = 5000
+    shown: Sequence[str] = ("ingreso_mensual_mxn", "score_buro", "txn_pct_digital", "txn_n_viajes", "prod_util_media", "conv_noise_pct")
     turn_id: str = "message_id"
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
@@ -55,6 +61,7 @@ class ProfileJob:
         fitted = segments.Segmentation.fit(table, self.rules, k=self.clusters, restarts=self.restarts)
         fitted.save(self.spark, f"{self.out}/modelos/segmentos")
         segmented = self._stage(fitted.transform(table), "master_segmentado")
+        self.segment_outputs(fitted, segmented)
         models = propensity.train_propensity(segmented, self.targets, params=self.params)
         model_runs.save_run(models, f"{self.out}/modelos/propension", **asdict(self.params))
         tables.write_table(models.metrics.drop("top_features"), f"{self.out}/metricas")
@@ -62,6 +69,29 @@ class ProfileJob:
         modelled = [t.removeprefix("tiene_") for t in models.ensembles]
         return self._stage(profiles.profiles(models.encoder.transform(scored), self.dims, modelled), "perfiles")
 
+    def segment_outputs(self, fitted: segments.Segmentation, segmented: DataFrame) -> None:
+        """Writes what tells good segments from bad ones: the sweep over numbers of clusters, the fit's measures, a map and means per segment.
+
+        The measures are null where all rows fell into one segment; means cover those of ``shown`` that the table has.
+        """
+        with temporary(self.spark):
+            vectors = materialize(fitted.scaler.vectors(segmented, ("user_id", "segmento_id", "segmento_nombre")), "segment_vectors")
+            tables.write_table(segments.kmeans_sweep(vectors, self.sweep, self.sweep_restarts), f"{self.out}/segmentos_barrido")
+            tables.write_table(segments.pca2(vectors, ("user_id", "segmento_id", "segmento_nombre")), f"{self.out}/segmentos_mapa")
+            plain = vectors.withColumn("features", vector_to_array("features"))
+            values = (None, None, None)
+            if plain.select("segmento_id").distinct().count() > 1:
+                values = (
+                    float(measures.silhouette_squared(plain, "features", "segmento_id")),
+                    float(measures.silhouette_sample(plain, "user_id", "features", "segmento_id", self.silhouette_rows)),
+                    float(measures.davies_bouldin(plain, "features", "segmento_id")),
+                )
+            row = (len(fitted.centres), float(fitted.cost), *values)
+            schema = "k int, costo double, silueta_cuadrada double, silueta double, davies_bouldin double"
+            tables.write_table(self.spark.createDataFrame([row], schema), f"{self.out}/segmentos_medidas")
+        shown = [c for c in self.shown if c in segmented.columns]
+        tables.write_table(views.segment_profile(segmented, shown), f"{self.out}/segmentos_perfil")
+
     def run(self, customers: DataFrame, products: DataFrame, transactions: DataFrame, turns: DataFrame) -> DataFrame:
         result = self.profiles(self.features(customers, products, transactions, turns))
         tables.write_table(views.profile_run_summary(result), f"{self.out}/resumen")

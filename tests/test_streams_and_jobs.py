@@ -176,7 +176,7 @@ def test_profile_job_from_csv(spark, sf):
     job = ProfileJob(
         spark, out, RULES, qu.segment_table(spark, sf).withColumn("segmento_nombre", F.lit("Activo")).limit(1),
         product_types=qu.TYPES, targets={"tiene_tipo_1": "Tipo 1"}, params=propensity.TreeParams(rounds=3, folds=2),
-        clusters=3, restarts=2,
+        clusters=3, restarts=2, sweep=(2, 3), sweep_restarts=2,
     )
     result = job.run(
         tables.read_customers(spark, paths["r_customers"], typed("r_customers", ["satisfaccion_1_10", "ingreso_mensual_mxn"], ["edad", "score_buro", "antiguedad_dias", "dias_desde_ultimo_login"])),
@@ -191,6 +191,15 @@ def test_profile_job_from_csv(spark, sf):
     summary = spark.read.parquet(f"{out}/resumen").first()
     assert summary.n_total == result.count()
     assert spark.read.parquet(f"{out}/metricas").count() == 1
+    sweep = {r.k: r for r in spark.read.parquet(f"{out}/segmentos_barrido").collect()}
+    assert sorted(sweep) == [2, 3] and sweep[3].cost <= sweep[2].cost
+    fit = spark.read.parquet(f"{out}/segmentos_medidas").first()
+    assert fit.k == 3 and -1 <= fit.silueta <= 1 and -1 <= fit.silueta_cuadrada <= 1 and fit.davies_bouldin > 0
+    places = spark.read.parquet(f"{out}/segmentos_mapa")
+    assert places.select("user_id").distinct().count() == result.count() and places.where("pca_x is null or pca_y is null").count() == 0
+    means = spark.read.parquet(f"{out}/segmentos_perfil")
+    direct = result.groupBy("segmento_nombre").count()
+    assert means.join(direct, "segmento_nombre").count() == means.count() and {"ingreso_mensual_mxn", "score_buro", "conv_noise_pct"} <= set(means.columns)
     again = segments.Segmentation.load(spark, f"{out}/modelos/segmentos")
     assert again.transform(spark.read.parquet(f"{out}/master")).count() == result.count()
     # the written features equal those computed directly from the tables; empty texts are missing in files
