@@ -247,6 +247,29 @@ def test_forest_equals_trying_every_cut(spark):
     assert forest.importances(3).sum() == pytest.approx(1) and forest.importances(3).argmin() == 2
 
 
+def test_a_level_counts_one_of_two_sisters_and_features_jointly(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n_bins = [5, 40, 2, 30]
+    bins = np.stack([rng.integers(0, n, 500) for n in n_bins], axis=1).astype(np.uint8)
+    node, weight, rows = rng.integers(0, 2, 300), rng.integers(-9, 9, 300).astype(float), np.sort(rng.permutation(500)[:300])
+    joint = boosting.Joint(n_bins, 200)
+    assert len(joint.groups) == 2  # the bins of both groups' features combine to 200 and 60 cells
+    counted = np.zeros((2, int(joint.starts[-1])))
+    joint.count(counted, joint.codes(np.ascontiguousarray(bins.T)), rows, node, weight)
+    plain = [[weight[(node == k) & (bins[rows, f] == b)].sum() for f, n in enumerate(n_bins) for b in range(n)] for k in (0, 1)]
+    assert joint.cells(counted).tolist() == plain
+
+    sent, real = [], boosting.total
+    monkeypatch.setattr(boosting, "total", lambda sums, parts, size: sent.append(size) or real(sums, parts, size))
+    table = spark.createDataFrame(
+        [(int(k), b.tobytes(), bytes([int(b[1] > 20)]), bytes([i % 3]), None) for i, (k, b) in enumerate(zip(rng.integers(0, 2**62, 500), bins))],
+        "k long, bins binary, labels binary, folds binary, margins binary",
+    )
+    boosting.fit_forests(table, [boosting.Model(0, 0, 1)], n_bins, 1, 1, propensity.TreeParams(rounds=1))
+    assert sent == [8 * sum(n_bins) * k for k in (2, 2, 8)]  # G and n of 1, 1 and 2 nodes, H of 4
+    assert boosting.parts_of(900_000) <= 24  # every task sends one sum per model
+
+
 @pytest.mark.parametrize("distinct", [40, 20_000])
 def test_isotonic_blocks_equal_the_sequential_fit(spark, distinct):
     rng = np.random.default_rng(distinct)
