@@ -8,7 +8,7 @@ from profilekit.functions import text as tx
 from profilekit.operators import clean, features, propensity, segments, sessions, tfidf, vectors
 from profilekit.plans import queries_users as qu
 from profilekit.plans.profile_job import ProfileJob
-from profilekit.plans.queries_streams import turn_corpus
+from profilekit.plans.queries_streams import logged_turns, turn_corpus
 from profilekit.plans.retrieval_job import RetrievalJob
 from profilekit.plans.role_views import role
 from profilekit.session import scratch_path
@@ -151,6 +151,15 @@ def test_enriched_stream_equals_batch(spark, sf, log, folder):
     assert got.exceptAll(want.select(*got.columns)).count() == 0
 
 
+def test_short_circuited_turns_are_not_searched(spark, sf, monkeypatch):
+    searched, real = [], vectors.dense_topk
+    monkeypatch.setattr(vectors, "dense_topk", lambda asked, *rest, **named: searched.append(asked) or real(asked, *rest, **named))
+    turns = logged_turns(spark, sf).select("message_id", "noise_gate", "n_rag_docs").collect()
+    asked = {r.message_id for r in searched[0].select("message_id").collect()}
+    assert asked == {r.message_id for r in turns if not r.noise_gate} and len(asked) < len(turns)
+    assert all(r.n_rag_docs == 0 for r in turns if r.noise_gate) and any(r.n_rag_docs for r in turns)
+
+
 RULES = [segments.NameRule("Activo", "txn_frec_por_dia"), segments.NameRule("Rico", "ingreso_mensual_mxn")]
 
 
