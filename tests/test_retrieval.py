@@ -67,6 +67,26 @@ def test_no_queries(spark, dense):
     assert blocks.best_pairs(q.where("q < 0"), d, 0.3, 5).count() == 0
 
 
+def test_a_table_leaves_the_best_of_each_query_only(dense, monkeypatch):
+    docs, asked, d, q = dense
+    table_q, table_d = q.toArrow(), d.toArrow()
+    monkeypatch.setattr(blocks, "BLOCK_CELLS", 50)
+    monkeypatch.setattr(blocks, "FIRST_DOCS", 2)
+    found = [tuple(r.values()) for b in blocks._best_in(table_q, table_d, -2.0, 3) for r in b.to_pylist()]
+    assert len(found) == 3 * len(asked) and set(found) == brute(docs, asked, -2.0, 3)
+
+
+def test_vectors_of_any_size(spark):
+    """Single precision only chooses what double precision compares."""
+    near = [[1.0, 1e-9 * i] for i in range(5)] + [[1e200, 0.0], [float("inf"), 0.0], [float("nan"), 1.0]]
+    d = spark.createDataFrame(list(enumerate(near)), "d long, v array<double>")
+    q = spark.createDataFrame([(0, [0.0, 1e8]), (1, [1.0, 0.0])], "q long, v array<double>")
+    got = {tuple(r) for r in blocks.best_pairs(q, d.where("d < 5"), 0.0, 2).collect()}
+    assert got == {(0, 4, 0.4), (0, 3, 0.3), (1, 0, 1.0), (1, 1, 1.0)}
+    got = {tuple(r) for r in blocks.best_pairs(q.where("q = 1"), d, 0.0, 2).collect()}
+    assert got == {(1, 5, 1e200), (1, 6, float("inf"))}
+
+
 def test_small_blocks_change_nothing(dense, monkeypatch):
     _, _, d, q = dense
     want = sorted(map(tuple, blocks.best_pairs(q, d, 0.2, 4).collect()))
