@@ -22,6 +22,8 @@ from .boosting import BLOBS, matrix, parts_of, total
 UNIT = float(1 << 20)
 #: The rows of least hash from which the first centres are drawn.
 SEED_ROWS = 1 << 14
+#: Rows that a task compares with a fit's centres at once.
+PASS_ROWS = 4096
 #: A fit rests when its centres together moved by less (squared).
 REST = 1e-4
 
@@ -48,14 +50,26 @@ def first_centres(points: np.ndarray, k: int, rng: np.random.Generator) -> np.nd
     return np.array(chosen)
 
 
-def squared_distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Added up one coordinate after the other, so that a row's result does not depend on its batch."""
-    out = np.zeros((len(points), len(centres)))
-    for f in range(points.shape[1]):
-        out += (points[:, f, None] - centres[None, :, f]) ** 2
+def squared_distances(columns: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Centres x points of coordinates x points. Added up one coordinate after the other, so that a point's result does not depend on its batch."""
+    out = np.zeros((len(centres), columns.shape[1]))
+    apart = np.empty_like(out)
+    for f, column in enumerate(columns):
+        np.subtract(column, centres[:, f, None], out=apart)
+        apart *= apart
+        out += apart
     return out
 
 
+def nearest_of(far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per point its nearest centre and how far that is; ties: the first."""
+    own, least = np.zeros(far.shape[1], np.int64), far[0]
+    for c in range(1, len(far)):
+        np.putmask(own, far[c] < least, c)
+        least = np.minimum(least, far[c])
+    return own, least
+
+
 def _pass(rows: DataFrame, fits: Sequence[Fit], width: int) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     """Per fit: counts, sums and cost with its present centres."""
     centres = [f.centres for f in fits]
@@ -65,16 +79,15 @@ def _pass(rows: DataFrame, fits: Sequence[Fit], width: int) -> dict[int, tuple[n
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums, cost = np.zeros(len(stacked)), np.zeros((len(stacked), width)), np.zeros(len(stacked))
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                points = matrix(part.column(0), width)
-                far = squared_distances(points, stacked)
+            for at in range(0, batch.num_rows, PASS_ROWS):
+                points = matrix(batch.column(0).slice(at, PASS_ROWS), width)
+                columns, member = np.ascontiguousarray(points.T), np.zeros((len(stacked), len(points)))
                 for a, b in zip(edges[:-1], edges[1:]):
-                    own = far[:, a:b].argmin(axis=1)
+                    own, least = nearest_of(squared_distances(columns, stacked[a:b]))
                     n[a:b] += np.bincount(own, minlength=b - a)
-                    cost[a:b] += np.bincount(own, np.rint(far[np.arange(len(own)), a + own] * UNIT), b - a)
-                    for f in range(width):
-                        sums[a:b, f] += np.bincount(own, points[:, f] * UNIT, b - a)
+                    cost[a:b] += np.bincount(own, np.rint(least * UNIT), b - a)
+                    member[a + own, np.arange(len(own))] = 1
+                sums += member @ (points * UNIT)  # of whole numbers, so exact in any order
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.concatenate([n, cost, sums.ravel()]).tobytes()], pa.binary())], ["m", "sums"])
 
     size = 8 * len(stacked) * (width + 2)

@@ -336,6 +336,14 @@ def test_category_codes_are_ranked_in_ranges(spark):
     assert [tuple(r)[3:] for r in encoder.transform(unseen).collect()] == [(5000, 0)]
 
 
+def test_nearest_centres_take_the_first_of_equals():
+    points, centres = np.array([[0.0, 1.0], [4.0, 1.0], [2.0, 0.0]]), np.array([[1.0, 1.0], [3.0, 1.0], [1.0, 1.0]])
+    far = kmeans.squared_distances(points.T, centres)
+    assert far.shape == (3, 3)  # a row per centre, of which a fit looks at its own only
+    own, least = kmeans.nearest_of(far)
+    assert own.tolist() == [0, 1, 0] and least.tolist() == [1.0, 1.0, 2.0]
+
+
 def test_all_restarts_share_their_scans(spark, people, monkeypatch):
     vectors = people.select("user_id", F.array("a", "b").alias("features"))
     scans, real = [], kmeans._pass
