@@ -1,6 +1,9 @@
 """Streams equal their batch twins on split and repeated input; jobs run end to end."""
 
+import warnings
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +154,30 @@ def test_enriched_stream_equals_batch(spark, sf, log, folder):
     assert got.exceptAll(want.select(*got.columns)).count() == 0
 
 
+def test_a_user_advances_on_plain_arrays():
+    """Rows in time order, those without a time last; the state holds the last dated message."""
+
+    class State:
+        exists, get = False, None
+
+        def update(self, new):
+            self.exists, self.get = True, new
+
+    def rows(*of):
+        ids, seconds, resets = zip(*of)
+        return pd.DataFrame({"message_id": ids, "user_id": 3, "date": pd.to_datetime(pd.Series(seconds), unit="s"), "reset": pd.Series(resets, dtype=object), "sin_id": False})
+
+    state = State()
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")  # no data frame operation that guesses types
+        (first,) = live._advance((3,), iter([rows((8, None, None), (5, 20, True)), rows((4, 20, None), (9, 10, False))]), state)
+        (second,) = live._advance((3,), iter([rows((1, 15, None), (2, 30, True))]), state)
+    columns = ["message_id", "session_no", "turno", "tarde", "reset"]
+    assert first[columns].values.tolist() == [[9, 0, 1, False, False], [4, 0, 2, False, False], [5, 1, 1, False, True], [8, 1, 2, True, False]]
+    assert second[columns].values.tolist() == [[1, 1, 3, True, False], [2, 2, 1, False, True]]
+    assert state.get == (2, 1, 30_000_000, 2)
+
+
 def test_short_circuited_turns_are_not_searched(spark, sf, monkeypatch):
     searched, real = [], vectors.dense_topk
     monkeypatch.setattr(vectors, "dense_topk", lambda asked, *rest, **named: searched.append(asked) or real(asked, *rest, **named))
