@@ -23,7 +23,7 @@ from .vectors import distinct_answers
 
 TOKEN = f"{WORD}{{2,}}"
 #: Words that a task counts at once, about.
-SLICE_TOKENS = 1 << 20
+SLICE_TOKENS = 1 << 18
 
 
 def tokens(text: Column) -> Column:
