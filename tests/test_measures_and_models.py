@@ -270,6 +270,18 @@ def test_a_level_counts_one_of_two_sisters_and_features_jointly(spark, monkeypat
     assert boosting.parts_of(900_000) <= 24  # every task sends one sum per model
 
 
+@pytest.mark.parametrize("residual", [1 << 20, -(1 << 20)])
+def test_sums_come_apart_after_features_were_told_apart(residual):
+    """A whole block of the largest residuals in one bin of one feature: G and n are exact though the cells were added up packed."""
+    joint, n = boosting.Joint([8, 3, 4], 1024), boosting.PACKED_ROWS
+    bins = np.stack([np.arange(n) % 8, np.zeros(n, int), np.arange(n) % 4]).astype(np.uint8)
+    counted = np.zeros((1, int(joint.starts[-1])))
+    joint.count(counted, joint.codes(bins), np.arange(n), np.zeros(n, np.int64), np.full(n, residual + boosting.PACKED))
+    g, number = boosting.unpacked(joint.cells(counted))
+    want = [n // 8] * 8 + [n, 0, 0] + [n // 4] * 4
+    assert number.tolist() == [want] and g.tolist() == [[residual * w for w in want]]
+
+
 @pytest.mark.parametrize("distinct", [40, 20_000])
 def test_isotonic_blocks_equal_the_sequential_fit(spark, distinct):
     rng = np.random.default_rng(distinct)
