@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,38 @@ def test_small_blocks_change_nothing(dense, monkeypatch):
     assert sorted(x for rows in best.values() for x in rows[:4]) == want
 
 
+def sparse_table(key, rows):
+    return pa.table({key: [*range(len(rows))], "t": pa.array([[t for t, _ in r] for r in rows], pa.list_(pa.int32())), "w": pa.array([[w for _, w in r] for r in rows], pa.list_(pa.float64()))})
+
+
+@pytest.mark.parametrize("min_sim", [0.3, 0.0])
+@pytest.mark.parametrize("cells", [60, 4000, 4_000_000])
+def test_sparse_pairs_equal_all_products(monkeypatch, min_sim, cells):
+    rng = np.random.default_rng(cells)
+    some = lambda n, least: [[(int(t), float(rng.random())) for t in np.sort(rng.choice(300, rng.integers(least, 6), replace=False))] for _ in range(n)]
+    docs, asked = some(90, 0), some(40, 1)
+    sims = np.array([[round(sum(w * dict(d).get(t, 0.0) for t, w in q), 9) for d in docs] for q in asked])
+    monkeypatch.setattr(blocks, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(blocks, "QUERY_CHUNK", 30)
+    got = {(r["q"], r["d"], r["sim"]) for b in blocks._best_in(sparse_table("q", asked), sparse_table("d", docs), min_sim, 4) for r in b.to_pylist()}
+    if min_sim:
+        want = {(i, j, sims[i, j]) for i in range(40) for j in sorted(range(90), key=lambda j: (-sims[i, j], j))[:4] if sims[i, j] >= min_sim}
+        assert got == want and len(want) > 20
+    else:  # documents with a term of the chunk count too, as many as are asked for
+        assert len(got) == 4 * 40 and all(sims[i, j] == s for i, j, s in got)
+
+
+def test_sparse_pairs_touch_the_entries_of_a_querys_terms_only(monkeypatch):
+    """Queries of one rare term each: as many products as entries, not entries times queries."""
+    n, made = 2000, []
+    docs = sparse_table("d", [[(k, 0.5), (n + k % 7, 0.1)] for k in range(n)])
+    asked = sparse_table("q", [[(k, 1.0)] for k in range(n)])
+    bincount = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *more: made.append(len(x)) or bincount(x, *more))
+    got = [r for b in blocks._best_in(asked, docs, 0.3, 3) for r in b.to_pylist()]
+    assert sum(made) == n and {(r["q"], r["d"], r["sim"]) for r in got} == {(k, k, 0.5) for k in range(n)}
+
+
 def test_answers_are_deduplicated_after_the_candidate_cut(spark):
     docs = [(i, [1.0, float(i) / 100], "same answer" if i < 9 else f"other {i}") for i in range(12)]
     corpus = spark.createDataFrame(docs, "doc_id bigint, embedding array<float>, output string")
