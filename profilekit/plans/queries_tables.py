@@ -380,8 +380,7 @@ def _on_real_texts(where: str, view: str) -> None:
         raw=True,
     )
     def labels(spark, sf):
-        noisy = tx.with_turn_noise(role(spark, sf, view))
-        return noisy.select("message_id", tx.intent(F.col("input")).alias("intent"), tx.noise_label(F.col("input")).alias("label"), "noise_type", "noise_score")
+        return tx.with_turn_labels(role(spark, sf, view)).select("message_id", "intent", "label", "noise_type", "noise_score")
 
     @query(
         f"gate_route_on_{where}",

@@ -168,3 +168,13 @@ def test_agrees_with_pandas_contains(messages):
     want = pdf["input"].str.lower().str.contains("|".join(fv.FRUSTRATION), na=False, regex=True).tolist()
     got = by_id(messages.select("id", F.coalesce(tx.has_frustration(F.col("input")), F.lit(False)).alias("x")), "x")
     assert [got[i][0] for i in range(len(TEXTS))] == want
+
+
+def test_turn_labels_lower_a_text_once(spark):
+    """Lower-casing is not repeated by test and branch; the finance words are looked for where a branch asks for them."""
+    texts = spark.range(40).selectExpr("case when id % 3 = 0 then null else concat('Hola ', id, ' TARJETA x') end as input")
+    labelled = tx.with_turn_labels(texts)
+    plan = labelled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 2 and "_finance" not in plan
+    plain = tx.with_turn_noise(texts).withColumns({"intent": tx.intent(F.col("input")), "label": tx.noise_label(F.col("input"))})
+    assert sorted(map(str, labelled.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
