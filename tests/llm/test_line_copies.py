@@ -102,6 +102,29 @@ def test_all_links_of_near_copies(docs_of):
         assert report[d].match_doc_id == (rows[equal[0]][0] if equal else rows[earlier[0]][0] if earlier else None)
 
 
+def near_group(n):
+    rng = random.Random(6)
+    base = [f"v{k}" for k in range(30)]
+    return [(k, " ".join([*base, f"u{k}", f"t{rng.randrange(9)}"])) for k in range(n)]
+
+
+def test_links_written_grow_with_the_group(docs_of, spark):
+    """A group of near-equal lines, all of which match each other: pairs written to connect it are no more than a few for each line."""
+    rows = near_group(300)
+    docs = lc.ordered(lc.numbered(docs_of(rows).select("doc_id", "text")))
+    lines = lc.materialize(lc.signed_lines(docs, lc.Plan()), "lines")
+    *_, links = lc._linked(docs, lines, lc.Plan())
+    assert links.count() <= 4 * len(rows)
+    assert [r.links for r in lc.report(lc.line_matches(docs_of(rows))).collect()] == [299] * 300
+
+
+def test_blocks_of_a_group(docs_of):
+    """Links are counted once each, whatever the size of the blocks."""
+    rows = near_group(50) + [(100 + k, " ".join(f"x{j}" for j in range(k, k + 20))) for k in range(40)] + near_group(5)
+    whole, cut = (sorted(map(str, lc.report(lc.line_matches(docs_of(rows), plan)).collect())) for plan in (lc.Plan(), lc.Plan(block=8, slices=1)))
+    assert whole == cut
+
+
 def test_words_that_agree_in_the_joined_bits(docs_of):
     """A line whose words collide is not a copy of itself."""
     many = [f"w{k}" for k in range(300_000)]
