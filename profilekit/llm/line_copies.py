@@ -283,13 +283,14 @@ def line_matches(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     return _matches(ordered(own), plan, spent=own)
 
 
-def _linked(docs: DataFrame, lines: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _linked(docs: DataFrame, lines: DataFrame, plan: Plan, spent: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes (node, h, x2, id, size, n, bits: the first of all lines with an equal set, where another line may match),
     sets (row, set) of them, links (a, b, similarity): verified ones, enough to connect all nodes that are linked.
 
     Every node is compared with the first of each of its keys, so that a group of near copies takes about as many
     comparisons as it has members. Nodes of one key that are not connected after that are all compared with each other, but for pairs whose
     lengths or parity bits show that they differ too much: these bound the similarity from above, so no link is lost.
+    ``spent``, the table below ``docs``, is deleted once the sets are written.
     """
     shared = shared_keys(lines, plan)
     # as a table its size is known, so a small one is broadcast
@@ -297,6 +298,8 @@ def _linked(docs: DataFrame, lines: DataFrame, plan: Plan) -> tuple[DataFrame, D
     first = lines.join(wanted, "x1").groupBy("x1", "x2").agg(F.min(F.struct("d", "r", "l")).alias("id"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = materialize(first.select(F.monotonically_increasing_id().alias("node"), F.col("x1").alias("h"), "x2", "id", "size", "n", "bits"), "nodes")
     sets = word_sets(docs, nodes.select("node", "id"), plan)
+    if spent is not None:
+        discard(spent)
     wide = materialize(nodes.select("node", "h", "n").join(sets.select(F.col("row").alias("node"), "wide"), "node"), "wide")
     other = wide.select(F.col("node").alias("b"), F.col("h").alias("f"), F.col("n").alias("m"), F.col("wide").alias("c"))
     alike = _may_match(plan.similarity, F.col("n"), [F.col("wide")[k] for k in range(BITS)], F.col("m"), [F.col("c")[k] for k in range(BITS)])
@@ -411,9 +414,7 @@ def counted(placed: DataFrame, plan: Plan) -> DataFrame:
 def _matches(docs: DataFrame, plan: Plan, spent: DataFrame | None = None) -> DataFrame:
     """``line_matches`` of a written table (row, d, text). Tables are deleted as soon as nothing reads them, ``spent``, the table below ``docs``, as well."""
     lines = materialize(signed_lines(docs, plan), "lines")
-    nodes, sets, links = _linked(docs, lines, plan)
-    if spent is not None:
-        discard(spent)
+    nodes, sets, links = _linked(docs, lines, plan, spent)
     root = materialize(components(links).join(nodes, "node").select("root", "node", "id", "size", "h", "x2"), "connected")
     placed = root.join(sets.withColumnRenamed("row", "node"), "node").select("root", "node", "id", "size", "set")
     found = materialize(counted(placed, plan), "counted")
