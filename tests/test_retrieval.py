@@ -56,6 +56,20 @@ def test_best_pairs_all_ways(dense, limit, monkeypatch):
     assert got == want
 
 
+def test_documents_in_pieces(dense):
+    """Neither side fits: documents go to the tasks in three pieces, and neither side is repeated for the other one's blocks."""
+    docs, asked, d, q = dense
+    q = q.unionAll(q.select(F.col("q") + 1000, "v"))
+    found = blocks.best_pairs(q, d, 0.3, 5, broadcast_bytes=8 * 12 * 40)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan and "Generate" not in plan
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted((i + more, j, s) for i, j, s in brute(docs, asked, 0.3, 5) for more in (0, 1000))
+    table_q, table_d = q.toArrow(), d.toArrow()
+    pieces = [lambda a=a: (table_d.slice(a, 13), None) for a in range(0, 130, 13)]
+    assert sorted(tuple(r.values()) for slab in blocks._slabs(iter(table_q.to_batches())) for b in blocks._best_of(slab, pieces, 0.3, 5) for r in b.to_pylist()) == got
+
+
 def test_text_ids_and_null_vectors(spark):
     d = spark.createDataFrame([("é", [1.0, 0.0]), ("b", [1.0, 0.0]), ("n", None)], "d string, v array<float>")
     q = spark.createDataFrame([("x", [1.0, 0.0]), ("y", None)], "q string, v array<float>")
